@@ -4,18 +4,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_packing, gif_columns, token_counts
+from . import curve_packing, gif_columns, kn_language, pivot_simhash, token_counts, url_aliases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_aliases": url_aliases.op1_url_aliases,
         "op3_curve_packing": curve_packing.op3_curve_packing,
+        "op4_kn_language": kn_language.op4_kn_language,
+        "op5_pivot_simhash": pivot_simhash.op5_pivot_simhash,
         "op9_gif_columns": gif_columns.op9_gif_columns,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_aliases": url_aliases.ORACLE}
