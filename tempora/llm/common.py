@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,7 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters handled at a time inside one task; bounds what Python holds of a long batch.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
+
+
+#: Rows of an Arrow batch, where the session has Spark's default. Rows are whole texts here, and an
+#: executor holds several batches at a time outside its heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Give a worker's freed memory back to the system at the end of a task; workers are reused and idle ones keep theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +54,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -83,7 +105,10 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: T.StructType, m
                 made = f(col.slice(lo, hi - lo).to_pylist())
                 cols = [part.column(i) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del f
+        trim()
 
+    small_batches(df.sparkSession)
     return df.select(*keep, text).mapInArrow(run, out_schema)
 
 

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, map_texts, materialise, schema, table
+from .common import arrow_type, map_texts, materialise, schema, table, trim
 
 SEQ_LEN = 1024
 #: Token that closes a document.
 CLOSE = 0
 FEATURES, DIMS, LEVEL_BITS, TIE_BITS = 512, 4, 8, 20
 #: Tokens of a range, about; a range is laid out in one task.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 1_000_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -146,7 +146,10 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
                 size = min(n - start, seq_len - off)
                 rows.append((doc, start, size, ids[start : start + size].tobytes(), n, seq, off))
                 start, at = start + size, at + size
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        del rows, docs
+        trim()
+        return out
 
     return ranged.groupBy("range").applyInArrow(lay, out)
 

@@ -21,10 +21,8 @@ empty; rows that repeat id and text are one document and are treated alike; corp
 first), then a hash of the text, then the line; columns of the input stay; an empty table gives an empty result.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise, table
@@ -86,24 +84,28 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
-    """``df`` with later copies of repeated runs cut from ``text_col``, and lines_deleted (long)."""
+    """``df`` with later copies of repeated runs cut from ``text_col``, and lines_deleted (long; replaces a column of that name)."""
     runs = repeated_runs(df, id_col=id_col, text_col=text_col, min_words=min_words, min_lines=min_lines)
-    runs = runs.groupBy(*DOC).agg(F.collect_list(F.struct("no", "lines")).alias("__runs"))
-    out = T.StructType([T.StructField("text", T.StringType()), T.StructField("deleted", T.LongType())])
-
-    @F.pandas_udf(out)
-    def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, rs in zip(text, runs, strict=True):
-            if t is None or rs is None:
-                rows.append((t, 0))
-                continue
-            gone = {n for r in rs for n in range(r["no"], r["no"] + r["lines"])}
-            rows.append(("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), len(gone)))
-        return pd.DataFrame(rows, columns=["text", "deleted"])
-
-    both = _keyed(df, id_col, text_col).join(runs, DOC, "left").withColumn("__cut", cut(text_col, "__runs"))
-    return both.select(*[F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("__cut.deleted").alias("lines_deleted"))
+    both = _keyed(df, id_col, text_col).join(_ranges(runs), DOC, "left")
+    lines, gone = F.split(text_col, "\n", -1), F.col("__gone")
+    # what stands between the deleted ranges, each range of lines copied once
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1)["end"])
+    until = lambda i: F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i)["no"])
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, begin(i) + 1, until(i) - begin(i))))
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    deleted = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["no"]), F.lit(0).cast("long"))
+    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns if c != "lines_deleted"], deleted.alias("lines_deleted"))
+
+
+def _ranges(runs: DataFrame) -> DataFrame:
+    """(__doc, __hash, __gone): overlapping and touching runs of a document as ranges [no, end), in order."""
+    in_doc = Window.partitionBy(*DOC).orderBy("no")
+    end = F.col("no") + F.col("lines")
+    reached = F.max(end).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.repartition(*DOC).withColumn("first", (reached.isNull() | (F.col("no") > reached)).cast("int"))
+    numbered = marked.withColumn("range", F.sum("first").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = numbered.groupBy(*DOC, "range").agg(F.min("no").alias("no"), F.max(end).alias("end"))
+    return ranges.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("no", "end"))).alias("__gone"))
 
 
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

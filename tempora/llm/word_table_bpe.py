@@ -1,15 +1,16 @@
 """BPE encoding and decoding (operator 7): a table of distinct words, joined back by position.
 
 Texts are split into words by the vocabulary's rule. A chunk of documents (some MB of text) is kept
-as its distinct words, each with a place, and the documents as sequences of places. The word rows of
-all chunks are dealt out and sorted by word, so each distinct word of the corpus meets in one place
-and is encoded once; its ids go back to the chunks by (chunk, place), and a document's ids are
-those at its places, in order. Decoding joins ids to the id-to-piece table (as many rows as the
+as its distinct words, each with a place, and the documents as sequences of places. The words of all
+chunks are dealt out by hash, so the occurrences of a distinct word meet in one part of the word
+table and it is encoded once; its ids go back to the chunks by (chunk, place), and a document's ids
+are those at its places, in order. Decoding joins ids to the id-to-piece table (as many rows as the
 vocabulary has) and joins the pieces' bytes.
 
-Scale: what is shuffled is a row for each distinct word of a chunk, not one for each word of the
-corpus; a frequent word has at most one row in a chunk, so no word is hot. The places are written
-once, bucketed by chunk, and are not shuffled. Chunks survive retries: they are read from that table.
+Scale: what is shuffled is each distinct word of a chunk, sorted and compressed, not each word of the
+corpus; a frequent word is in a chunk once at most, so no word is hot. The word table has as many
+parts as the session has shuffle partitions. The places are written once, bucketed by chunk, and
+are not shuffled. Chunks survive retries: they are read from that table.
 
 Defined cases: null and empty texts have no ids; strings of special tokens inside a text get their
 id, as the library does by default; a text longer than a chunk is a chunk of its own; repeated rows
@@ -17,8 +18,12 @@ are encoded again; null ids are kept; an empty table gives an empty result.
 """
 
 import hashlib
+import os
 import re
 import uuid
+import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import arrow_type, schema, scratch_dir, slices, table
+from .common import arrow_type, schema, scratch_dir, slices, small_batches, table, trim
 
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 16 << 20
 SLICE_CHARS = 1 << 20
-#: Word rows that a task gathers before it sends them back to their chunks.
-HOLD_ROWS = 1 << 20
+#: Distinct words handed to the encoder at a time.
+ENCODE_WORDS = 1 << 12
 
 
 class _Places(dict):
@@ -77,12 +82,21 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def split_words(df: DataFrame, vocabulary: str, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: (chunk, place, word), and (chunk, ids of documents, counts of words, places)."""
+def _pack_words(words: list[str]) -> tuple[bytes, np.ndarray]:
+    return zstandard.ZstdCompressor(level=6).compress("".join(words).encode("utf-8", "surrogatepass")), np.fromiter(map(len, words), np.uint32, len(words))
+
+
+def _unpack_words(raw: bytes, lengths: np.ndarray) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return [text[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+
+
+def split_words(df: DataFrame, vocabulary: str, parts: int, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: (chunk, part, words, numbers: their lengths and places), and (chunk, docs, counts, numbers: the places of the docs' words)."""
     id_type = df.schema[id_col].dataType
-    out = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("docs", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType())])
+    out = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("docs", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("numbers", T.BinaryType())])
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
-    n_null = lambda n, t: pa.nulls(n, t)
 
     def run(batches):
         words = splitter(vocabulary)
@@ -90,10 +104,15 @@ def split_words(df: DataFrame, vocabulary: str, *, id_col: str, text_col: str) -
         places, chars = _Places(), 0
 
         def close():
-            for at in range(0, len(places), 1 << 16):
-                part = list(places)[at : at + (1 << 16)] if at or len(places) > 1 << 16 else list(places)
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([base + number] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(part, pa.string()), *(n_null(n, t) for t in arrow.types[3:])], schema=arrow)
+            by: list[list] = [[] for _ in range(parts)]
+            for w, i in places.items():
+                by[zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts].append((w, i))
+            for part, rows in enumerate(by):
+                if rows:
+                    rows.sort()
+                    raw, lengths = _pack_words([w for w, _ in rows])
+                    numbers = _pack(np.concatenate([lengths, np.fromiter((i for _, i in rows), np.uint32, len(rows))]))
+                    yield pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([part], pa.int32()), pa.array([raw], pa.binary()), pa.nulls(1, arrow.types[3]), pa.nulls(1, arrow.types[4]), pa.array([numbers], pa.binary())], schema=arrow)
 
         for b in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_pylist()
@@ -108,57 +127,50 @@ def split_words(df: DataFrame, vocabulary: str, *, id_col: str, text_col: str) -
                     codes.append(np.array(got, np.uint32))
                     counts.append(len(got))
                 chars += sum(sizes[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), n_null(1, pa.int32()), n_null(1, pa.string()), pa.array([b.column(0).slice(lo, hi - lo).to_pylist()], arrow.types[3]), pa.array([counts], arrow.types[4]), pa.array([_pack(np.concatenate(codes))], pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([b.column(0).slice(lo, hi - lo).to_pylist()], arrow.types[3]), pa.array([counts], arrow.types[4]), pa.array([_pack(np.concatenate(codes))], pa.binary())], schema=arrow)
         yield from close()
+        places.clear()
+        trim()
 
     return df.select(id_col, text_col).mapInArrow(run, out)
 
 
-def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """(chunk, ids) from (chunk, place, word): each distinct word is encoded once, where its rows meet."""
-    rows = rows.repartition("word").sortWithinPartitions("word")
+@lru_cache(maxsize=2)
+def word_encoder(vocabulary: str):
+    """``f(words) -> ids of each``, by the tokenizer file itself, one thread, without offsets."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def run(batches):
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(vocabulary)
-        encoder.no_truncation()
-        encoder.no_padding()
-        held, size = [], 0
-        last, last_ids = None, None
-
-        def flush():
-            chunk, place, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            flat = np.concatenate([h[3] for h in held])
-            start = np.cumsum(n) - n
-            by = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], chunk[by][1:] != chunk[by][:-1]]))
-            for a, z in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                at = by[a:z]
-                ids = flat[_ragged(start[at], n[at])]
-                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[at[0]])], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([_pack(np.concatenate([place[at], n[at], ids]))], pa.binary())], names=["chunk", "n", "ids"])
+    t = Tokenizer.from_file(vocabulary)
+    t.no_truncation()
+    t.no_padding()
+    return lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
 
-        for b in batches:
-            d = b.column(2).dictionary_encode()
-            distinct = d.dictionary.to_pylist()
-            fresh = distinct[1:] if distinct and distinct[0] == last else distinct
-            ids = [e.ids for e in encoder.encode_batch(fresh, add_special_tokens=False)]
-            ids = ids if len(ids) == len(distinct) else [last_ids, *ids]
-            if distinct:
-                last, last_ids = distinct[-1], ids[-1]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), np.uint32, int(n.sum()))
-            of = d.indices.to_numpy()
-            start = np.cumsum(n) - n
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32), n[of], flat[_ragged(start[of], n[of])]))
-            size += len(of)
-            if size >= HOLD_ROWS:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
-
-    return rows.mapInArrow(run, schema("chunk long, n int, ids binary"))
+
+def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """(chunk, n, ids) from (chunk, part, words, numbers): a part of the word table at a time, each distinct word encoded once."""
+
+    def run(part: pa.Table) -> pa.Table:
+        encoder = word_encoder(vocabulary)
+        place_of, wanted = _Places(), []
+        for raw, numbers in zip(part["words"], part["numbers"], strict=True):
+            x = _unpack(numbers.as_py())
+            n = len(x) // 2
+            wanted.append((np.array(list(map(place_of.__getitem__, _unpack_words(raw.as_py(), x[:n]))), np.int64), x[n:]))
+        distinct = list(place_of)
+        lengths, flats = [], []
+        for at in range(0, len(distinct), ENCODE_WORDS):
+            got = encoder(distinct[at : at + ENCODE_WORDS])
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
+        n, flat = np.concatenate(lengths), np.concatenate(flats)
+        start = np.cumsum(n) - n
+        del place_of, distinct
+        packed = [_pack(np.concatenate([place, n[at].astype(np.uint32), flat[_ragged(start[at], n[at])]])) for at, place in wanted]
+        trim()
+        return pa.table({"chunk": part["chunk"], "n": pa.array([len(at) for at, _ in wanted], pa.int32()), "ids": pa.array(packed, pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(run, schema("chunk long, n int, ids binary"))
 
 
 def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -170,13 +182,14 @@ def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", finish=None, finish_schema: str = "ids array<long>") -> DataFrame:
     """``id_col`` and the ids of each text; or what ``finish(ids as uint32 array) -> tuple`` makes of them."""
     spark = df.sparkSession
+    small_batches(spark)
     finish = finish or (lambda ids: (ids.tolist(),))
     name = f"word_places_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split_words(df, vocabulary, id_col=id_col, text_col=text_col).write.bucketBy(buckets, "chunk").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    split_words(df, vocabulary, buckets, id_col=id_col, text_col=text_col).write.bucketBy(buckets, "chunk").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     both = spark.table(name)
-    ids = encode_words(both.where("word is not null").select("chunk", "place", "word"), vocabulary)
-    texts = both.where("word is null").select("chunk", "docs", "counts", "places")
+    ids = encode_words(both.where("part is not null").select("chunk", "part", "words", "numbers"), vocabulary)
+    texts = both.where("part is null").select("chunk", "docs", "counts", "numbers")
     out = T.StructType([df.schema[id_col], *schema(finish_schema).fields])
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
@@ -194,13 +207,14 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
             at += len(flat)
         flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
         rows = []
-        for docs, counts, raw in zip(left["docs"].to_pylist(), left["counts"].to_pylist(), left["places"].to_pylist(), strict=True):
+        for docs, counts, raw in zip(left["docs"].to_pylist(), left["counts"].to_pylist(), left["numbers"].to_pylist(), strict=True):
             places = _unpack(raw).astype(np.int64)
             n = length[places]
             ids = flat[_ragged(begin[places], n)]
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
             for doc, a, z in zip(docs, ends[:-1], ends[1:], strict=True):
                 rows.append((doc, *finish(ids[a:z])))
+        trim()
         if not rows:
             return arrow.empty_table()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
