@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.functions.columns import let
 
@@ -176,7 +177,7 @@ def quality(c: Column) -> Column:
     return F.rtrim(c.cast("string"), F.lit("pP")).try_cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safe_filename(names: pd.Series) -> pd.Series:
     """Decomposed, with forbidden characters and spaces as single underscores, at most 150 characters."""
 
@@ -187,7 +188,7 @@ def safe_filename(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def file_stem(names: pd.Series) -> pd.Series:
     """Composed, letters and digits with spaces as underscores; path characters become hyphens; ``episode`` if nothing is left."""
 
@@ -198,14 +199,14 @@ def file_stem(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, without regard to case; a null counts as empty."""
     low = lambda x: "" if x is None else x.lower()
     return pd.Series([SequenceMatcher(None, low(x), low(y)).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<text:string,highlighted:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("highlighted", T.BooleanType())])))
 def spans(texts: pd.Series) -> pd.Series:
     """Spans of a text in order, with whether they are highlighted; tags without a partner are dropped."""
     tag = re.compile(r"<\s*([\\/]?)\s*h[l1]\s*>", re.I)
