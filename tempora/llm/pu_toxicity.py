@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positive set, texts without a label the unlabelled one; texts labelled
 clean only give the class prior. With the prior pi the risk is estimated as
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)): the part in the bracket is the risk of the hidden clean texts,
-and where training drives it below zero the step is reversed, so the model can't gain by fitting the
+and where training drives it below zero it stays at zero, so the model can't gain by fitting the
 unlabelled texts. The loss is logistic, so a score is an estimate of the probability of a toxic text.
 
 Features are hashed words and word beginnings, by their counts over the root of the number of words. The model is linear,
@@ -132,17 +132,21 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    mean, kept = np.zeros_like(theta), 0
     for t in range(1, steps + 1):
         zp, zu = p.dot(theta[:-1]) + theta[-1], u.dot(theta[:-1]) + theta[-1]
         # logistic loss: of "+" softplus(-z), of "-" softplus(z)
         hidden = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up, dp, du = prior * (sig(zp) - 1) / p.n, -prior * sig(zp) / p.n, sig(zu) / u.n
-        gp, gu = (up + dp, du) if hidden >= 0 else (-dp, -du)
+        gp, gu = (up + dp, du) if hidden >= 0 else (up, 0 * du)
         g = np.append(p.back(gp, size) + u.back(gu, size), gp.sum() + gu.sum())
         g[:-1] += DECAY * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Classifier(theta[:-1].astype(np.float32), float(theta[-1]), prior)
+        if 2 * t > steps:  # steps to either side of zero make the last one arbitrary; the mean of the second half is not
+            kept += 1
+            mean += (theta - mean) / kept
+    return Classifier(mean[:-1].astype(np.float32), float(mean[-1]), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
