@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +15,11 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
+#: Beyond these characters the library's tables of letters and digits may be older than others'; such
+#: texts are given to the library itself.
+UNUSUAL = re.compile(r"[^\u0000-\u052f\u2000-\u206f]").search
+
+
 def vocabulary(path: str) -> dict:
     """The parsed tokenizer file, after a check that it is a plain byte-level one."""
     with open(path, encoding="utf-8") as f:
@@ -63,7 +70,26 @@ def whole_text_encoder(path: str):
     ranks = {p: i for i, p in enumerate(own) if i not in marks.values()}
     enc = tiktoken.Encoding("own", pat_str=SPLIT.replace(WHITE, r"\s"), mergeable_ranks=ranks, special_tokens=marks)
     allowed = set(marks)
-    return lambda text: enc.encode(text, allowed_special=allowed, disallowed_special=())
+    lib = library(path)
+
+    def encode(text: str) -> list[int]:
+        if UNUSUAL(text):
+            return lib.encode(text, add_special_tokens=False).ids
+        return enc.encode(text, allowed_special=allowed, disallowed_special=())
+
+    return encode
+
+
+@lru_cache(maxsize=4)
+def library(path: str):
+    """The tokenizer file as the library reads it, one thread, unused truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def ids_bytes(ids) -> bytes:

@@ -18,11 +18,9 @@ are encoded again; null ids are kept; an empty table gives an empty result.
 """
 
 import hashlib
-import os
 import re
 import uuid
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -54,7 +52,11 @@ class _Places(dict):
 
 def splitter(vocabulary: str):
     """``f(text) -> words``; strings of special tokens are words of their own."""
-    find = regex.compile(bpe.SPLIT).findall
+    usual, rule = regex.compile(bpe.SPLIT).findall, bpe.library(vocabulary).pre_tokenizer
+
+    def find(text):
+        return [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)] if bpe.UNUSUAL(text) else usual(text)
+
     marks = bpe.special(vocabulary)
     if not marks:
         return find
@@ -135,23 +137,11 @@ def split_words(df: DataFrame, vocabulary: str, parts: int, *, id_col: str, text
     return df.select(id_col, text_col).mapInArrow(run, out)
 
 
-@lru_cache(maxsize=2)
-def word_encoder(vocabulary: str):
-    """``f(words) -> ids of each``, by the tokenizer file itself, one thread, without offsets."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(vocabulary)
-    t.no_truncation()
-    t.no_padding()
-    return lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
-
-
 def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(chunk, n, ids) from (chunk, part, words, numbers): a part of the word table at a time, each distinct word encoded once."""
 
     def run(part: pa.Table) -> pa.Table:
-        encoder = word_encoder(vocabulary)
+        library = bpe.library(vocabulary)
         place_of, wanted = _Places(), []
         for raw, numbers in zip(part["words"], part["numbers"], strict=True):
             x = _unpack(numbers.as_py())
@@ -160,7 +150,7 @@ def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
         distinct = list(place_of)
         lengths, flats = [], []
         for at in range(0, len(distinct), ENCODE_WORDS):
-            got = encoder(distinct[at : at + ENCODE_WORDS])
+            got = [e.ids for e in library.encode_batch_fast(distinct[at : at + ENCODE_WORDS], add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
             flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
         n, flat = np.concatenate(lengths), np.concatenate(flats)
