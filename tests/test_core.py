@@ -194,3 +194,18 @@ def test_stream_of_tempo_windows(spark, tmp_path):
     q = windows.tempo(stream, key="k").writeStream.format("memory").queryName("tempo").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("tempo").agg(F.sum("events")).first()[0] == 60
+
+
+def test_streamed_camera_equals_batch(spark, tmp_path):
+    from tempora.streaming import windows
+
+    rows = [(1, i / 8, 0.01, 0.3 + 0.01 * (i % 9), 0.5, 0.1, 0.1, 0.9) for i in range(24)]
+    frames = spark.createDataFrame(rows, "episode_id long, t double, diff double, cx double, cy double, w double, h double, score double")
+    want = camera.track(frames.select("episode_id", "t", "diff"), frames.select("episode_id", "t", "cx", "cy", "w", "h", "score")).orderBy("t").collect()
+    src = str(tmp_path / "frames")
+    frames.coalesce(1).write.parquet(src)
+    out = windows.camera_track(spark.readStream.schema(frames.schema).parquet(src))
+    q = out.writeStream.format("memory").queryName("camera").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("camera").orderBy("t").collect()
+    assert [r["t"] for r in got] == [r["t"] for r in want] and all(abs(a["cx"] - b["cx"]) < 1e-12 for a, b in zip(got, want))
