@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, collision_embeddings, components, curve_packing, gif_columns, kn_language, line_runs, pivot_simhash, pu_toxicity, token_counts, url_aliases, word_table_bpe
+from tempora.llm import bpe, collision_embeddings, components, curve_packing, gif_columns, jaccard_groups, kn_language, line_runs, pivot_simhash, pu_toxicity, token_counts, url_aliases, word_table_bpe
 
 VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "a<|endoftext|>b", "  \n\n x  y　z \x1c q'll ４５ ²", "日本 é😀", "x" * 3000, "word " * 30000, "same", "same"]
@@ -245,3 +245,29 @@ def test_columns_of_any_name_pass_through(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({c: F.lit(1) for c in ("score", "accepted", "lines_deleted", "fp", "component_id")})
     out = corpus_pipeline.lines(spark, corpus_pipeline.language(spark, d, ""), "")
     assert out.columns == d.columns and out.count() > 0
+
+
+def test_near_duplicate_stage_against_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [None, "", "a b", "A  b"]
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for changes in (0, 1, 2, 3, 4, 5, 8):
+            c = list(base)
+            for at in rng.sample(range(150), changes):
+                c[at] = f"changed{rng.randrange(9)}"
+            texts.append(" ".join(c))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    part = list(range(len(texts)))
+    linked = [[j for j in range(len(texts)) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0] for i in range(len(texts))]
+    while (new := [min(part[j] for j in linked[i]) for i in range(len(texts))]) != part:
+        part = new
+    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)] + [(None, texts[-1]), (1, None)], "doc_id long, text string")
+    for size in (jaccard_groups.PART_SHINGLES, 300):  # candidate groups as a whole, and in parts
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_groups.near_duplicates(df, part_shingles=size).collect()}
+        assert [got[i + 1] for i in range(len(texts))] == [p + 1 for p in part]
+    stay = sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert stay == sorted([0, 1] + [i + 1 for i in range(len(texts)) if part[i] == i])
+    assert jaccard_groups.near_duplicates(df.limit(0)).count() == 0
