@@ -7,11 +7,11 @@ The language of lowest cross-entropy per character wins; a text whose cross-entr
 what that language's own texts reach, with room, is rejected.
 
 Scale: counts are summed inside each task, then by key on the executors; lower orders are aggregates
-of distinct grams. What the driver holds is the model alone, and a gram is stored under a hash of
-``hash_bits`` bits, so an order has at most 2**hash_bits rows for any corpus: the model has a
-proven bound (``max_model_bytes``) and more languages make the hash narrower. Of grams whose
-hashes meet the most frequent is stored, with its key, so no gram is taken for another; the others
-back off to their lower orders.
+of distinct grams, and probabilities are worked out there too, a whole context in one task, from the
+counts of all grams. Every gram is stored. An order's grams and contexts are hash arrays in parts of
+``PART_BYTES``, which pass through the driver one at a time and are broadcast; a worker holds
+``RESIDENT_BYTES`` of them and reads the others again for each stretch of text, so a model larger
+than a worker's memory is slower and not smaller.
 
 Defined cases: null text or a text without letters is ``und``, with score 0, and rejected; without a
 training row everything is ``und``; null or empty languages are not learned from; ties go to the
@@ -20,9 +20,9 @@ language first in order; repeated rows count and are judged again; other columns
 
 import sys
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from .common import map_texts, materialise, release, schema, table, trim
 ORDER = 5
 CODE_BITS = 12
 CODES = 1 << CODE_BITS
-HASH_BITS = 20
-MAX_MODEL_BYTES = 256 << 20
+#: Of the model: bytes of a part, and of the parts that a worker holds between stretches of text.
+PART_BYTES, RESIDENT_BYTES = 64 << 20, 256 << 20
 #: Grams counted at a time in a task; four times as many distinct ones are held before they are passed on.
 HOLD_GRAMS = 1 << 18
 #: Texts, at most, that the rejection limit is set from; training rows, in order of a hash.
@@ -137,142 +137,203 @@ def _fold(by: dict, held: dict) -> int:
 
 
 @dataclass
-class Order:
-    slots: np.ndarray  # sorted hashes of stored grams
-    grams: np.ndarray  # the gram of each
-    logp: np.ndarray  # a row for each, a column for each language
-    context_slots: np.ndarray  # sorted hashes of stored contexts
-    contexts: np.ndarray
-    backoff: np.ndarray
+class Part:
+    """Keys in order of their hash, a row for each, and where each hash begins."""
+
+    keys: np.ndarray
+    rows: np.ndarray  # a column for each language
+    starts: np.ndarray
+    bits: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, rows: np.ndarray) -> "Part":
+        bits = max(1, int(len(keys)).bit_length())
+        h = hashed(keys, bits)
+        by = np.argsort(h, kind="stable")
+        return cls(keys[by], rows[by], np.searchsorted(h[by], np.arange((1 << bits) + 1)).astype(np.int32), bits)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        h = hashed(keys, self.bits)
+        at, end, todo = self.starts[h].astype(np.int64), self.starts[h + 1], np.arange(len(keys))
+        while len(todo):
+            left = at < end
+            at, end, todo = at[left], end[left], todo[left]
+            hit = self.keys[at] == keys[todo]
+            out[todo[hit]] = at[hit]
+            at, end, todo = at[~hit] + 1, end[~hit], todo[~hit]
+        return out
+
+    @property
+    def size(self) -> int:
+        return self.keys.nbytes + self.rows.nbytes + self.starts.nbytes
 
 
 @dataclass
 class Model:
     languages: list[str]
-    bits: int
-    orders: list[Order] = field(default_factory=list)
+    #: For each order, the parts of its grams' log probabilities and of its contexts' log back-offs: (bytes, broadcast).
+    grams: list[list] = field(default_factory=list)
+    contexts: list[list] = field(default_factory=list)
     limits: dict[str, float] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "dense"}
-
-    def index(self):
-        """Place of each hash in the sorted arrays, or -1: made once where the model is used."""
-        if not hasattr(self, "dense"):
-            self.dense = []
-            for o in self.orders:
-                pair = []
-                for s in (o.slots, o.context_slots):
-                    d = np.full(1 << self.bits, -1, np.int32)
-                    d[s] = np.arange(len(s))
-                    pair.append(d)
-                self.dense.append(pair)
-        return self.dense
+    resident_bytes: int = RESIDENT_BYTES
+
+    def _lookup(self, parts: list, keys: np.ndarray, add_to: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Add the row of each stored key to ``add_to[at]``; returns which keys are stored."""
+        found = np.zeros(len(keys), bool)
+        for place, size, shared in parts:
+            todo = np.flatnonzero(~found)
+            if not len(todo):
+                break
+            part = shared.value
+            got = part.find(keys[todo])
+            hit = got >= 0
+            add_to[at[todo[hit]]] += part.rows[got[hit]]
+            found[todo[hit]] = True
+            if place + size > self.resident_bytes and getattr(shared, "_path", None):
+                shared.__dict__.pop("_value", None)
+        return found
 
     def log_probability(self, gram: np.ndarray, k: int | None = None) -> np.ndarray:
         """Rows of log p(last character | those before) for grams of ``k`` characters, a column for each language."""
-        k = len(self.orders) if k is None else k
-        if k == 0:
-            return np.full((len(gram), len(self.languages)), -np.log(CODES), np.float32)
-        slot_at, context_at = self.index()[k - 1]
-        o = self.orders[k - 1]
-        at = slot_at[hashed(gram, self.bits)]
-        out = o.logp[at]
-        miss = np.flatnonzero((at < 0) | (o.grams[at] != gram))
-        if len(miss):
-            g = gram[miss]
-            low = self.log_probability(g & ((1 << CODE_BITS * (k - 1)) - 1), k - 1)
-            context = g >> CODE_BITS
-            at = context_at[hashed(context, self.bits)]
-            seen = (at >= 0) & (o.contexts[at] == context)
-            out[miss] = low + np.where(seen[:, None], o.backoff[at], 0)
+        k = len(self.grams) if k is None else k
+        out, todo = np.zeros((len(gram), len(self.languages)), np.float32), np.arange(len(gram))
+        for j in range(k, 0, -1):
+            g = gram[todo] & ((1 << CODE_BITS * j) - 1)
+            miss = ~self._lookup(self.grams[j - 1], g, out, todo)
+            todo, g = todo[miss], g[miss]
+            if not len(todo):
+                return out
+            self._lookup(self.contexts[j - 1], g >> CODE_BITS, out, todo)
+        out[todo] -= np.log(CODES)
         return out
 
-    def cross_entropy(self, c: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.languages))
-        g = grams_of(c, len(self.orders))
-        for at in range(0, len(g), 1 << 18):
-            total -= self.log_probability(g[at : at + (1 << 18)]).sum(axis=0, dtype=np.float64)
-        return total / len(g)
+    def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row for each text, which has letters."""
+        total = np.zeros((len(texts), len(self.languages)))
+        grams = [grams_of(c, len(self.grams)) for c in texts]
+        sizes = np.array([len(g) for g in grams])
+        g, of = np.concatenate(grams), np.repeat(np.arange(len(texts)), sizes)
+        step = max(1 << 12, (1 << 20) // len(self.languages))
+        for at in range(0, len(g), step):
+            h, row = self.log_probability(g[at : at + step]), of[at : at + step]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            total[row[first]] -= np.add.reduceat(h, first, axis=0, dtype=np.float64)
+        return total / sizes[:, None]
 
     def predict(self, texts) -> list[list]:
         """Language, score, cross-entropy and whether it is accepted, for each text."""
-        rows = []
-        for t in texts:
-            c = codes_of(t)
-            if not len(c) or not self.languages:
-                rows.append(("und", 0.0, None, False))
-                continue
-            h = self.cross_entropy(c)
+        codes = [codes_of(t) for t in texts]
+        rows = [("und", 0.0, None, False)] * len(codes)
+        some = [i for i, c in enumerate(codes) if len(c)] if self.languages else []
+        # a language without a text of its own to set a limit by has that of the others
+        other = max(self.limits.values(), default=np.inf)
+        for i, h in zip(some, self.cross_entropies([codes[i] for i in some]) if some else (), strict=True):
+            n = len(codes[i])
             best = int(np.argmin(h))
-            score = 1 / np.exp(-(h - h[best]) * min(len(c), 50)).sum()
+            score = 1 / np.exp(-(h - h[best]) * min(n, 50)).sum()
             lang = self.languages[best]
-            limit = self.limits.get(lang, np.inf) + SHORT_ROOM / np.sqrt(len(c))
-            rows.append((lang, float(score), float(h[best]), bool(h[best] <= limit)))
+            limit = self.limits.get(lang, other) + SHORT_ROOM / np.sqrt(n)
+            rows[i] = (lang, float(score), float(h[best]), bool(h[best] <= limit))
         return [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 4
 
 
-def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, hash_bits: int = HASH_BITS, max_model_bytes: int = MAX_MODEL_BYTES) -> Model:
+def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, part_bytes: int = PART_BYTES, resident_bytes: int = RESIDENT_BYTES) -> Model:
     """A model of every language in ``rows``, from all their texts."""
-    counts = materialise(count_grams(rows, text_col=text_col, lang_col=lang_col, order=order), "grams")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    raw = materialise(count_grams(rows, text_col=text_col, lang_col=lang_col, order=order), "grams")
+    languages = sorted(r[0] for r in raw.select("lang").distinct().collect())
+    model = Model(languages, resident_bytes=resident_bytes)
     if not languages:
-        release(counts)
-        return Model([], 1)
-    each = 2 * order * (4 * len(languages) + 8 + 8 + 4)  # of a hash: grams and contexts with their rows
-    bits = min(hash_bits, int(np.log2(max_model_bytes / each)))
-    model = Model(languages, bits)
-    code = {x: i for i, x in enumerate(languages)}
-    tables = []
-    for k in range(order, 0, -1):
-        tables.append(_stored_counts(counts if k == order else _continued(counts, k), bits, code))
-    release(counts)
-    for k, (lang, gram, c, n1, n2) in zip(range(1, order + 1), reversed(tables), strict=True):
-        model.orders.append(_order(model, k, lang, gram, c, n1, n2))
-        model.__dict__.pop("dense", None)
+        release(raw)
+        return model
+    code = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+    counts = {order: raw.select(code.cast("int").alias("lang"), "gram", "n")}
+    for k in range(order - 1, 0, -1):
+        counts[k] = materialise(_continued(counts[k + 1], k), f"grams-{k}")
+    few = reduce(DataFrame.union, [c.where("n <= 2").groupBy("lang", "n").count().select(F.lit(k).alias("k"), "lang", "n", "count") for k, c in counts.items()]).collect()
+    few = {(r["k"], r["lang"], r["n"]): r["count"] for r in few}
+    shorter, made = None, []
+    for k in range(1, order + 1):
+        once, twice = (np.array([few.get((k, i, n), 0) for i in range(len(languages))]) for n in (1, 2))
+        discount = np.clip(np.where(once + 2 * twice > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.95)
+        shorter = materialise(_order(counts[k], shorter, k, discount), f"order-{k}")
+        made.append(shorter)
+    sizes = reduce(DataFrame.union, [t.groupBy("is_context").count().select(F.lit(k).alias("k"), "is_context", "count") for k, t in enumerate(made)]).collect()
+    sizes = {(r["k"], r["is_context"]): r["count"] for r in sizes}
+    place = 0
+    for k, t in enumerate(made):
+        for kind, into in ((False, model.grams), (True, model.contexts)):
+            n = -(-sizes[k, kind] * (4 * len(languages) + 16) // part_bytes)
+            parts = []
+            for i in range(n):
+                got = t.where(F.col("is_context") == kind).where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).select("key", "row").toArrow()
+                if got.num_rows:
+                    part = Part.of(got.column("key").to_numpy(), _rows(got.column("row"), len(languages)))
+                    parts.append((place, part.size, rows.sparkSession.sparkContext.broadcast(part)))
+                    place += part.size
+            into.append(parts)
+    release(raw, *counts.values(), *made)
     return model
 
 
+def _rows(column, n_lang: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, n_lang)
+
+
 def _continued(counts: DataFrame, k: int) -> DataFrame:
-    """Grams of ``k`` characters with the number of distinct characters seen to their left."""
-    longer = counts.select("lang", F.col("gram").bitwiseAND(F.lit((1 << CODE_BITS * (k + 1)) - 1)).alias("gram")).distinct()
-    return longer.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << CODE_BITS * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-
-
-def _stored_counts(counts: DataFrame, bits: int, code: dict[str, int]):
-    """Counts of the grams that are stored, one gram for each hash, and how many of each language's grams were counted once and twice."""
-
-    @F.pandas_udf("long")
-    def slot(gram: pd.Series) -> pd.Series:
-        return pd.Series(hashed(gram.to_numpy(), bits))
-
-    few = counts.where("n <= 2").groupBy("lang", "n").count().collect()
-    once, twice = (np.array([next((r["count"] for r in few if r["lang"] == x and r["n"] == n), 0) for x in code]) for n in (1, 2))
-    best = counts.groupBy(slot("gram").alias("slot")).agg(F.max_by("gram", F.struct("n", "gram")).alias("gram")).select("gram")
-    t = counts.join(best, "gram").select("lang", "gram", "n").toArrow()
-    lang = np.array([code[x] for x in t.column("lang").to_pylist()], np.int64)
-    return lang, t.column("gram").to_numpy(), t.column("n").to_numpy(), once, twice
-
-
-def _order(model: Model, k: int, lang, gram, c, once, twice) -> Order:
-    n_lang = len(model.languages)
-    grams, at = np.unique(gram, return_inverse=True)
-    contexts, cat = np.unique(gram >> CODE_BITS, return_inverse=True)
-    n = np.zeros((len(grams), n_lang))
-    np.add.at(n, (at, lang), c)
-    total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
-    np.add.at(total, (cat, lang), c)
-    np.add.at(kinds, (cat, lang), 1)
-    discount = np.clip(np.where(once + 2 * twice > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.95)
-    back = np.where(total > 0, np.minimum(discount * kinds / np.maximum(total, 1), 1), 1)
-    of = np.searchsorted(contexts, grams >> CODE_BITS)
-    low = np.exp(model.log_probability(grams & ((1 << CODE_BITS * (k - 1)) - 1), k - 1).astype(np.float64))
-    p = np.maximum(n - discount, 0) / np.maximum(total[of], 1) + back[of] * low
+    """Grams of ``k`` characters with the number of distinct characters seen to their left, from the grams one longer."""
+    return counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << CODE_BITS * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+
+
+def _order(counts: DataFrame, shorter: DataFrame | None, k: int, discount: np.ndarray) -> DataFrame:
+    """(is_context, key, row): log probabilities of the grams of ``k`` characters and log back-offs of their contexts.
+
+    A row has a float for each language. A context's grams meet in one task; there are at most as
+    many as there are characters, times languages.
+    """
+    n_lang, lowest = len(discount), shorter is None
     logs = lambda x: np.log(np.maximum(x, 1e-12)).astype(np.float32)
-    slot, context_slot = hashed(grams, model.bits), hashed(contexts, model.bits)
-    by, often = np.argsort(slot), np.lexsort((-total.sum(axis=1), context_slot))
-    often = often[np.concatenate([[True], context_slot[often][1:] != context_slot[often][:-1]])[: len(often)]]
-    return Order(slot[by], grams[by], logs(p[by]), context_slot[often], contexts[often], logs(back[often]))
+
+    def packed(x):
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * n_lang), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+    def work(t: pa.Table):
+        if not t.num_rows:
+            return
+        lang, gram, c = (t.column(x).to_numpy() for x in ("lang", "gram", "n"))
+        grams, first, at = np.unique(gram, return_index=True, return_inverse=True)
+        contexts, of = np.unique(grams >> CODE_BITS, return_inverse=True)
+        n = np.zeros((len(grams), n_lang))
+        np.add.at(n, (at, lang), c)
+        total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
+        np.add.at(total, of, n)
+        np.add.at(kinds, of, n > 0)
+        back = np.where(total > 0, np.minimum(discount * kinds / np.maximum(total, 1), 1), 1)
+        low = np.exp(_rows(t.column("low").take(pa.array(first)), n_lang).astype(np.float64)) if not lowest else 1 / CODES
+        p = np.maximum(n - discount, 0) / np.maximum(total[of], 1) + back[of] * low
+        for kind, keys, x in ((False, grams, p), (True, contexts, back)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind)), pa.array(keys), packed(logs(x))], names=["is_context", "key", "row"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            context = t.column("gram").to_numpy() >> CODE_BITS
+            last = int(np.searchsorted(context, context[-1])) if len(context) else 0
+            held = t.slice(last)
+            yield from work(t.slice(0, last))
+        if held is not None:
+            yield from work(held)
+        trim()
+
+    c = counts.select("lang", "gram", "n", F.shiftright("gram", CODE_BITS).alias("context"))
+    if not lowest:
+        low = shorter.where(~F.col("is_context")).select(F.col("key").alias("suffix"), F.col("row").alias("low"))
+        c = c.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << CODE_BITS * (k - 1)) - 1))).join(low, "suffix").drop("suffix")
+    c = c.repartition("context").sortWithinPartitions("context", "gram").drop("context")
+    return c.mapInArrow(run, schema("is_context boolean, key long, row binary"))
 
 
 PREDICTION = "lang_pred string, score double, cross_entropy double, accepted boolean"
@@ -280,10 +341,9 @@ PREDICTION = "lang_pred string, score double, cross_entropy double, accepted boo
 
 def predict(df: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` with lang_pred, score, cross_entropy and accepted for each row. No shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_model_bytes
 
     def make():
-        return shared.value.predict
+        return model.predict  # its arrays are broadcasts
 
     return map_texts(df, keep, text_col, schema(PREDICTION), make)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -271,3 +272,31 @@ def test_near_duplicate_stage_against_brute_force_jaccard(spark):
     stay = sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert stay == sorted([0, 1] + [i + 1 for i in range(len(texts)) if part[i] == i])
     assert jaccard_groups.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_language_model_keeps_every_gram(spark):
+    rng = random.Random(2)
+    texts = [(lang, "".join(rng.choice(letters) for _ in range(15000))) for lang, letters in (("a", "abcdefghij "), ("b", "fghijklmnop "), ("c", "qrstuvw "))]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    counts = {lang: {5: Counter(kn_language.grams_of(kn_language.codes_of(t)).tolist())} for lang, t in texts}
+    want = {}
+    for lang, c in counts.items():
+        for k in range(4, 0, -1):
+            c[k] = Counter(g & ((1 << 12 * k) - 1) for g in c[k + 1])
+        low = {0: 1 / 4096}
+        for k in range(1, 6):
+            once, twice = (sum(n == x for n in c[k].values()) for x in (1, 2))
+            d = min(max(once / (once + 2 * twice) if once + twice else 0.5, 0.1), 0.95)
+            total, kinds = Counter(), Counter()
+            for g, n in c[k].items():
+                total[g >> 12] += n
+                kinds[g >> 12] += 1
+            low = {g: max(n - d, 0) / total[g >> 12] + min(d * kinds[g >> 12] / total[g >> 12], 1) * low[g & ((1 << 12 * (k - 1)) - 1)] for g, n in c[k].items()}
+        want[lang] = low
+    for sizes in ({}, {"part_bytes": 1 << 18, "resident_bytes": 1 << 19}):  # held as a whole, and read part by part
+        m = kn_language.train(df, **sizes)
+        for i, lang in enumerate(m.languages):
+            g = np.array(list(want[lang]))
+            assert np.allclose(np.exp(m.log_probability(g)[:, i]), list(want[lang].values()), rtol=1e-3)
+        assert len(m.grams[4]) > 2 or not sizes
+        assert [r["lang_pred"] for r in kn_language.predict(df, m, keep=["lang"]).orderBy("lang").collect()] == ["a", "b", "c"]
