@@ -36,8 +36,6 @@ CODES = 1 << CODE_BITS
 PART_BYTES, RESIDENT_BYTES = 64 << 20, 256 << 20
 #: Grams counted at a time in a task; four times as many distinct ones are held before they are passed on.
 HOLD_GRAMS = 1 << 18
-#: Texts, at most, that the rejection limit is set from; training rows, in order of a hash.
-CALIBRATION_ROWS = 2000
 #: Room above the highest cross-entropy of own texts: nats, and nats times the root of the length.
 ROOM, SHORT_ROOM = 1.0, 8.0
 SPACE = 32
@@ -348,11 +346,11 @@ def predict(df: DataFrame, model: Model, *, keep: list[str], text_col: str = "te
     return map_texts(df, keep, text_col, schema(PREDICTION), make)
 
 
-def calibrate(model: Model, rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", at_most: int = CALIBRATION_ROWS) -> Model:
-    """Set each language's limit from the cross-entropies of a bounded sample of its own training rows."""
+def calibrate(model: Model, rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Set each language's limit from the cross-entropies of all its own training rows: one narrow pass and a maximum."""
     if model.languages:
-        some = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(at_most)
-        got = predict(some, model, keep=["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.max("cross_entropy").alias("h")).collect()
+        own = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        got = predict(own, model, keep=["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.max("cross_entropy").alias("h")).collect()
         model.limits = {r["lang"]: r["h"] + ROOM for r in got}
     return model
 
@@ -363,10 +361,10 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 def trained(docs: DataFrame) -> Model:
     rows = docs.where(F.coalesce(~held_out(), F.lit(True)))
-    return train(rows)
+    return calibrate(train(rows), rows)
 
 
 def op4_kn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, trained(docs), keep=["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")

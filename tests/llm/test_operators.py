@@ -300,3 +300,14 @@ def test_language_model_keeps_every_gram(spark):
             assert np.allclose(np.exp(m.log_probability(g)[:, i]), list(want[lang].values()), rtol=1e-3)
         assert len(m.grams[4]) > 2 or not sizes
         assert [r["lang_pred"] for r in kn_language.predict(df, m, keep=["lang"]).orderBy("lang").collect()] == ["a", "b", "c"]
+
+
+def test_language_limits_cover_every_training_row(spark):
+    rows = [("en", f"the quick brown fox jumps over the lazy dog number {'abcdefghij'[i % 10] * (i % 7)}") for i in range(2500)] + [("en", "the quick brown fox zzyq xwvk qqzj pfft")]
+    rows += [(f"rare{c}", c * 9 + " " + c * 4 + " " + c * 6) for c in "αβγδεζηθ"]  # a language of one text each
+    df = spark.createDataFrame(rows, "lang string, text string")
+    m = kn_language.calibrate(kn_language.train(df), df)
+    own = kn_language.predict(df, m, keep=["lang"]).where("lang = lang_pred")
+    want = {r["lang"]: r["h"] for r in own.groupBy("lang").agg(F.max("cross_entropy").alias("h")).collect()}
+    assert len(want) == 9 and m.limits == pytest.approx({k: v + kn_language.ROOM for k, v in want.items()})
+    assert own.where("not accepted").count() == 0
