@@ -33,8 +33,9 @@ BEGINNINGS = (4, 5, 6)
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 3000, 4000
 STEPS, RATE, DECAY = 160, 0.08, 2e-4
-#: A feature is learned only if it is in this share of the positive sample, and in so many of its rows.
-SEEN_SHARE, SEEN_ROWS = 0.06, 4
+#: A feature is learned if it is in so many rows of the positive sample; the weight of one in less than this
+#: share of them decays the faster, by the ratio to this power. Chosen on folds of the training rows.
+SEEN_ROWS, COMMON_SHARE, RARER = 4, 0.2, 0.5
 #: Word counts are divided by this power of the number of words of the text, and multiplied.
 SCALE, POWER = 6.0, 0.5
 THRESHOLD = 0.7
@@ -125,9 +126,10 @@ def _packed(text: str | None) -> bytes:
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = STEPS) -> Classifier:
     """Minimise the non-negative risk by Adam over all rows of the two samples."""
     p, u, size = _Rows(positive), _Rows(unlabelled), 1 << HASH_BITS
-    seen = np.bincount(p.at, minlength=size) >= max(SEEN_ROWS, SEEN_SHARE * p.n)
+    rows_with = np.bincount(p.at, minlength=size)
     for rows in (p, u):
-        rows.keep(seen)
+        rows.keep(rows_with >= SEEN_ROWS)
+    decay = DECAY * np.maximum(1, COMMON_SHARE * p.n / np.maximum(rows_with, 1)) ** RARER
     theta = np.zeros(size + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -140,7 +142,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
         up, dp, du = prior * (sig(zp) - 1) / p.n, -prior * sig(zp) / p.n, sig(zu) / u.n
         gp, gu = (up + dp, du) if hidden >= 0 else (up, 0 * du)
         g = np.append(p.back(gp, size) + u.back(gu, size), gp.sum() + gu.sum())
-        g[:-1] += DECAY * theta[:-1]
+        g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         if 2 * t > steps:  # steps to either side of zero make the last one arbitrary; the mean of the second half is not

@@ -311,3 +311,14 @@ def test_language_limits_cover_every_training_row(spark):
     want = {r["lang"]: r["h"] for r in own.groupBy("lang").agg(F.max("cross_entropy").alias("h")).collect()}
     assert len(want) == 9 and m.limits == pytest.approx({k: v + kn_language.ROOM for k, v in want.items()})
     assert own.where("not accepted").count() == 0
+
+
+def test_toxicity_learns_a_marker_of_few_positives():
+    rng = random.Random(8)
+    words = [f"plain{zlib.crc32(b'%d' % i)}" for i in range(300)]
+    text = lambda *marks: " ".join(rng.sample([rng.choice(words) for _ in range(30)] + [m for m in marks for _ in range(3)], 30 + 3 * len(marks)))
+    pos = [text("schurke") if i % 50 == 0 else text("villain") for i in range(1000)]  # 2 %
+    unl = [text("villain") for _ in range(98)] + [text("schurke") for _ in range(2)] + [text() for _ in range(900)]
+    m = pu_toxicity.fit([pu_toxicity._packed(t) for t in pos], [pu_toxicity._packed(t) for t in unl], 0.1)
+    score = lambda *marks: np.array(m.scores([text(*marks) for _ in range(100)]))
+    assert (score("villain") >= 0.7).mean() >= 0.95 and (score("schurke") >= 0.7).mean() >= 0.9 and (score() < 0.7).mean() >= 0.99
