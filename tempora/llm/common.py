@@ -46,6 +46,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/tempora-scratch-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -57,19 +59,31 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     small_batches(spark)
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends."""
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            p, fs = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
+            fs.cancelDeleteOnExit(p)
 
 
 def slices(lengths: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

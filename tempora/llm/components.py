@@ -77,6 +77,6 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
         if now[0] == now[2] and now[:2] == mark:
-            break
+            return e.select("u", F.col("v").alias("root"))
         mark = now[:2]
-    return e.select("u", F.col("v").alias("root"))
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
