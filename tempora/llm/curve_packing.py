@@ -4,10 +4,10 @@ Each document's tokens are hashed into a vector, projected to a few dimensions,
 into a Hilbert key, so documents with like words get near keys. Documents are range-sorted by key
 and laid end to end; every ``seq_len`` tokens a new sequence begins, so only the last one is padded.
 
-Scale: one pass tokenizes and writes (key, ids) to the shared folder; range bounds come from key
-quantiles; the token counts of ranges (a row per range) give each range its first place, and each
-range then lays out its own documents. The key ends in bits of the document's hash, so a third of
-all documents being equal spreads over ranges like any others.
+Scale: one pass tokenizes and writes (key, ids) to the shared folder; a range sort puts documents in order and
+numbers tokens within each range as rows stream by; ranges' token sums (a row per range) then give
+each its first place, and pieces are cut in one narrow pass. No range is held in memory. The key ends in bits of
+the document's hash, so a third of all documents being equal spreads over ranges like any others.
 
 Defined cases: null or empty text is one closing token; repeated rows are packed again; documents
 with null ids are packed too; ties of a key go by document id; an empty table gives an empty result.
@@ -16,20 +16,20 @@ with null ids are packed too; ties of a key go by document id; an empty table gi
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, map_texts, materialise, schema, table, trim
+from .common import arrow_type, map_texts, materialise, release, schema, slices, table, trim
 
 SEQ_LEN = 1024
 #: Token that closes a document.
 CLOSE = 0
 FEATURES, DIMS, LEVEL_BITS, TIE_BITS = 512, 4, 8, 20
-#: Tokens of a range, about; a range is laid out in one task.
-RANGE_TOKENS = 1_000_000
+#: Tokens of a range, about; and tokens whose pieces are cut at a time.
+RANGE_TOKENS, PIECE_TOKENS = 4_000_000, 1 << 18
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -114,44 +114,49 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
 
     narrow = "<u2" if len(pieces(vocabulary)) <= 1 << 16 else "<u4"
     tok = materialise(tokenized(df, vocabulary, id_col=id_col, text_col=text_col), "tokens")
-    total = tok.agg(F.sum("n")).first()[0] or 0
-    n_ranges = max(1, -(-total // range_tokens))
-    # Equal shares by quantiles of the key: n_ranges numbers, whatever the number of documents.
-    bounds = sorted(set(tok.approxQuantile("key", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges))) if n_ranges > 1 else []
-    edges = np.array(bounds, np.int64)
-
-    @F.pandas_udf("long")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right"))
-
-    ranged = tok.withColumn("range", range_of("key")) if len(edges) else tok.withColumn("range", F.lit(0).cast("long"))
-    # A row for each range: its first place among all tokens.
-    sums = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}
-    first, at = {}, 0
-    for r in sorted(sums):
-        first[r], at = at, at + sums[r]
-
+    n_ranges = max(1, -(-(tok.agg(F.sum("n")).first()[0] or 0) // range_tokens))
+    ordered = materialise(in_order(tok, n_ranges), "curve")
+    release(tok)
+    first, at = [], 0
+    for r in ordered.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # a row for each range
+        first.append((r["range"], at))
+        at += r["n"]
     out = T.StructType([df.schema[id_col], *schema("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long").fields])
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
-
-    def lay(docs: pa.Table) -> pa.Table:
-        docs = docs.sort_by([("key", "ascending"), (id_col, "ascending")])
-        at = first[docs["range"][0].as_py()]
-        rows = []
-        for doc, n, raw in zip(docs[id_col].to_pylist(), docs["n"].to_pylist(), docs["ids"].to_pylist(), strict=True):
-            ids = np.frombuffer(zlib.decompress(raw), narrow).astype("<u4")
-            start = 0
-            while start < n:
-                seq, off = divmod(at, seq_len)
-                size = min(n - start, seq_len - off)
-                rows.append((doc, start, size, ids[start : start + size].tobytes(), n, seq, off))
-                start, at = start + size, at + size
-        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
-        del rows, docs
+    begin = df.sparkSession.sparkContext.broadcast(dict(first))
+
+    def cut(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(2).to_pylist(), PIECE_TOKENS):
+                rows = []
+                for doc, r, n, within, raw in zip(*[c.slice(lo, hi - lo).to_pylist() for c in b.columns], strict=True):
+                    ids, at, start = np.frombuffer(zlib.decompress(raw), narrow).astype("<u4"), begin.value[r] + within, 0
+                    while start < n:
+                        seq, off = divmod(at, seq_len)
+                        size = min(n - start, seq_len - off)
+                        rows.append((doc, start, size, ids[start : start + size].tobytes(), n, seq, off))
+                        start, at = start + size, at + size
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
         trim()
-        return out
 
-    return ranged.groupBy("range").applyInArrow(lay, out)
+    return ordered.select(ordered.columns[0], "range", "n", "within", "ids").mapInArrow(cut, out)
+
+
+def in_order(tok: DataFrame, n_ranges: int) -> DataFrame:
+    """``tok`` (an id first, then key, n, ids) in order of the curve: each row with its range and the tokens before it there."""
+    by = ["key", tok.columns[0]]
+
+    def number(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(2).to_numpy()
+            total = np.cumsum(n)
+            cols = [*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(at + total - n)]
+            at += int(total[-1]) if len(n) else 0
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "range", "within"])
+
+    out = T.StructType([*tok.schema.fields, *schema("range int, within long").fields])
+    return tok.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by).mapInArrow(number, out)
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
