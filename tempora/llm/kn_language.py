@@ -14,7 +14,8 @@ counts of all grams. Every gram is stored. An order's grams and contexts are has
 than a worker's memory is slower and not smaller.
 
 Defined cases: null text or a text without letters is ``und``, with score 0, and rejected; without a
-training row everything is ``und``; null or empty languages are not learned from; ties go to the
+training row everything is ``und``; null or empty languages are not learned from; rows with a null id
+are training rows; ties go to the
 language first in order; repeated rows count and are judged again; other columns are ignored.
 """
 
@@ -110,7 +111,7 @@ def count_grams(train: DataFrame, *, text_col: str, lang_col: str, order: int =
                 if len(c):
                     by.setdefault(lang.as_py(), []).append(grams_of(c, order))
                     chars += len(c)
-                if chars > HOLD_GRAMS or (chars and text is b.column(1)[-1]):
+                if chars > HOLD_GRAMS:
                     size += _fold(by, held)
                     chars = 0
                 if size > 4 * HOLD_GRAMS:
