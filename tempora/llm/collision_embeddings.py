@@ -3,21 +3,24 @@
 Vectors are made unit length and projected on ``PROJECTIONS`` random directions. Two unit vectors of
 cosine c differ by a normal variable of variance 2 - 2c in each projection, so around a query a
 window of one such deviation for the threshold cosine catches a linked vector with probability 0.68,
-and an unrelated one with 0.21. Pairs are counted in how many windows they meet; the count asked for is
-the highest that keeps ``RECALL`` of pairs at the threshold (binomial), and closer pairs meet more
-often. Survivors are verified by their cosine in double precision, so no reported pair is below it.
+and an unrelated one with 0.21. Each projection is sorted; what lies in a query's window there collides with
+it, and collisions are counted per pair over all projections. The count asked for is the highest that keeps
+``RECALL`` of pairs at the threshold (binomial), and closer pairs meet more often. Survivors are verified by
+their cosine in double precision, so no reported pair is below it.
 
-The first projection is the sort that deals the work out: vectors of a label are put in strips as wide as
+The work is dealt out along the first projection: vectors of a label are put in strips as wide as
 the window that loses one pair in two thousand, and meet their own strip and the next. A strip
-of many vectors is dealt in hashed blocks of at most ``BLOCK_ROWS``; each pair of blocks is one task's
-bounded work, and it returns link counts and a spanning forest, never the pairs. Equal vectors of a
-label are one row with a weight, so thousands of copies cost nothing.
+of many vectors is dealt in hashed blocks of at most ``BLOCK_ROWS``; a task sorts the projections of one pair of
+blocks and counts, and it returns link counts and a spanning forest, never the pairs. Equal vectors of a
+label are one node with a weight, so thousands of copies cost nothing.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold a null or non-finite
 component, link with nothing; vectors of different lengths don't link; a row with a null id links with
-nothing and is in no component; rows that share an id share its component; an empty table gives an empty result.
+nothing and is in no component; different vectors that share an id are nodes of their own; an empty table
+gives an empty result; other columns are ignored.
 """
 
+from functools import lru_cache
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -48,6 +51,7 @@ def windows(cosine: float = COSINE, projections: int = PROJECTIONS, recall: floa
     return s, least, STRIP_DEVIATIONS * s
 
 
+@lru_cache(maxsize=8)
 def directions(size: int, projections: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(size).standard_normal((size, projections))
 
@@ -60,54 +64,66 @@ def prepared(df: DataFrame, *, id_col: str, vec_col: str, label_col: str) -> Dat
             raw = []
             for known, i, v in zip(b.column(1).is_valid().to_pylist(), b.column(0).is_valid().to_pylist(), b.column(2), strict=True):
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if known and i and v.is_valid and not v.values.null_count else np.zeros(0)
-                with np.errstate(over="ignore"):
-                    norm = float(np.sqrt(x @ x)) if len(x) else 0.0
-                raw.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+                raw.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["id", "label", "raw"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec_col).mapInArrow(run, schema("id long, label string, raw binary"))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; scaled by the largest component first, so that squares of large or small ones stay finite."""
+    x = x / np.abs(x).max(axis=-1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+
 def _classes(rows: DataFrame, strip: float) -> DataFrame:
-    """Distinct vectors of a label: node (smallest id), weight, raw, projections and strip."""
-    by = rows.where("raw is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    """Distinct vectors of a label: node, least id, weight, raw, projections and strip."""
+    by = rows.where("raw is not null").groupBy("label", "node", "h1").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
 
     def run(batches):
         for b in batches:
-            x = [np.frombuffer(r, np.float64) for r in b.column(3).to_pylist()]
-            p = [((v / np.sqrt(v @ v)) @ directions(len(v))).astype(np.float32) for v in x]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([q.tobytes() for q in p], pa.binary()), pa.array([len(v) for v in x], pa.int32()), pa.array([int(np.floor(q[0] / strip)) for q in p], pa.int32())], names=["label", "node", "weight", "raw", "proj", "size", "strip"])
+            x = [unit(np.frombuffer(r, np.float64)) for r in b.column(4).to_pylist()]
+            p = [(v @ directions(len(v))).astype(np.float32) for v in x]
+            made = [pa.array([q.tobytes() for q in p], pa.binary()), pa.array([len(v) for v in x], pa.int32()), pa.array([int(np.floor(q[0] / strip)) for q in p], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["label", "node", "least", "weight", "raw", "proj", "size", "strip"])
+
+    return by.select("label", "node", "least", "weight", "raw").mapInArrow(run, schema("label string, node long, least long, weight long, raw binary, proj binary, size int, strip int"))
+
 
-    return by.select("label", "node", "weight", "raw").mapInArrow(run, schema("label string, node long, weight long, raw binary, proj binary, size int, strip int"))
+def _collisions(queries: np.ndarray, order: np.ndarray, ranked: np.ndarray, half: float) -> np.ndarray:
+    """How often each of the sorted vectors lies in each query's window: queries x vectors.
 
+    ``queries`` holds a row of values for each projection; ``order`` and ``ranked`` the vectors as each projection sorts them.
+    """
+    n = ranked.shape[1]
+    met = np.zeros(queries.shape[1] * n, np.int32)
+    base = np.arange(queries.shape[1]) * n
+    for q, at, p in zip(queries, order, ranked, strict=True):
+        lo, hi = np.searchsorted(p, q - half), np.searchsorted(p, q + half, side="right")
+        size = hi - lo
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
+        met[np.repeat(base, size) + at[place]] += 1  # a vector is in a window once
+    return met.reshape(-1, n)
 
-def _meet(t: pa.Table, cosine: float, half: float, least: int, reach: float):
+
+def _meet(t: pa.Table, cosine: float, half: float, least: int):
     """(node, links) and forest edges among the two blocks of a task, or of one block with itself."""
     side = t["side"].to_numpy()
     node, weight = t["node"].to_numpy(), t["weight"].to_numpy()
-    x = np.frombuffer(b"".join(t["raw"].to_pylist()), np.float64).reshape(len(node), -1)
-    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    p = np.frombuffer(b"".join(t["proj"].to_pylist()), np.float32).reshape(len(node), -1)
-    by = np.argsort(p[:, 0], kind="stable")
-    side, node, weight, x, p = side[by], node[by], weight[by], x[by], np.ascontiguousarray(p[by].T)
+    x = unit(np.frombuffer(b"".join(t["raw"].to_pylist()), np.float64).reshape(len(node), -1))
+    p = np.frombuffer(b"".join(t["proj"].to_pylist()), np.float32).reshape(len(node), -1).T
     alone = bool((side == 0).all())
     a = np.flatnonzero(side < 2) if alone else np.flatnonzero(side == 1)
     b = a if alone else np.flatnonzero(side == 2)
     links = np.zeros(len(node), np.int64)
     us, vs = [], []
-    p0b = p[0, b]
-    for at in range(0, len(a), 256):
-        q = a[at : at + 256]
-        lo = np.searchsorted(p0b, p[0, q[0]] - reach)
-        hi = np.searchsorted(p0b, p[0, q[-1]] + reach, side="right")
-        c = b[lo:hi]
-        if not len(c):
-            continue
-        met = np.zeros((len(q), len(c)), np.uint8)
-        for k in range(len(p)):
-            met += np.abs(p[k][q][:, None] - p[k][c][None, :]) <= half
-        i, j = np.nonzero(met >= least)
-        i, j = q[i], c[j]
+    order = np.argsort(p[:, b], axis=1, kind="stable")
+    ranked = np.take_along_axis(p[:, b], order, axis=1)
+    for at in range(0, len(a) if len(b) else 0, 128):
+        q = a[at : at + 128]
+        i, j = np.nonzero(_collisions(p[:, q], order, ranked, half) >= least)
+        i, j = q[i], b[j]
         keep = i < j if alone else np.ones(len(i), bool)
         i, j = i[keep], j[keep]
         for s in range(0, len(i), 1 << 14):
@@ -127,7 +143,8 @@ def _meet(t: pa.Table, cosine: float, half: float, least: int, reach: float):
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``df``, by links between vectors of one label."""
     half, least, strip = windows(cosine)
-    rows = materialise(prepared(df, id_col=id_col, vec_col=vec_col, label_col=label_col).withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit("second"), "raw")}), "vectors")
+    hashes = {"h1": F.xxhash64("raw"), "node": F.xxhash64("label", F.lit("second"), "raw")}
+    rows = materialise(prepared(df, id_col=id_col, vec_col=vec_col, label_col=label_col).withColumns(hashes), "vectors")
     classes = materialise(_classes(rows, strip), "vector-classes")
     at = ["label", "size", "strip"]
     blocks = classes.groupBy(*at).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -142,18 +159,34 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     to_next = F.transform(until(F.coalesce("after", F.lit(0))), lambda q: task(1, F.col("strip"), own, q, F.lit(1)))
     to_last = F.transform(until(F.coalesce("before", F.lit(0))), lambda q: task(1, F.col("strip") - 1, q, own, F.lit(2)))
     dealt = x.select("label", "size", "node", "weight", "raw", "proj", F.explode(F.concat(within, to_next, to_last)).alias("t")).select("label", "size", "t.*", "node", "weight", "raw", "proj")
-    met = dealt.groupBy("label", "size", "kind", "at", "p", "q").applyInArrow(lambda t: _meet(t, cosine, half, least, strip), schema("u long, v long, links long"))
+    met = dealt.groupBy("label", "size", "kind", "at", "p", "q").applyInArrow(lambda t: _meet(t, cosine, half, least), schema("u long, v long, links long"))
     met = materialise(met, "meetings")
-    root = components(met.where("v is not null").select("u", "v"))
-    counts = met.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
-    keys = rows.where("raw is not null").groupBy("label", "h1", "h2").agg(F.min("id").alias("u"), F.count("*").alias("weight"))
-    known = keys.join(counts, "u", "left").join(root, "u", "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "u").alias("root"))
-    out = rows.select("id", "label", "h1", "h2", F.col("raw").isNotNull().alias("ok"))
-    out = out.join(known, ["label", "h1", "h2"], "left")
+    root = components(met.where("v is not null").select("u", "v")).withColumnRenamed("u", "node")
+    counts = met.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    known = classes.select("node", "least", "weight").join(counts, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(smallest, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
+    # rows that link with nothing have a node of their own, which spreads them
+    out = rows.select("id", F.col("raw").isNotNull().alias("ok"), F.when(F.col("raw").isNotNull(), F.col("node")).otherwise(F.xxhash64("id")).alias("node"))
+    out = out.join(known, "node", "left")
     n = F.when(F.col("ok"), F.col("n_links")).otherwise(F.lit(0))
-    comp = F.when(F.col("ok"), F.col("root")).otherwise(F.col("id"))
+    comp = F.when(F.col("ok"), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), n.cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
 
 
 def op6_collision_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Exact cosines of all pairs of a label, and what they reach.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS s, b.vec_id AS d
+      FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS s, vec_id AS d FROM v UNION SELECT r.s, l.d FROM r JOIN l ON r.d = l.s),
+n AS (SELECT s, count(*) AS n_links FROM l GROUP BY s),
+c AS (SELECT s, min(d) AS component_id FROM r GROUP BY s)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.s = v.vec_id LEFT JOIN n ON n.s = v.vec_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_aliases": url_aliases.ORACLE, "op2_line_runs": line_runs.ORACLE}
+    return {"op1_url_aliases": url_aliases.ORACLE, "op2_line_runs": line_runs.ORACLE, "op6_collision_embeddings": collision_embeddings.ORACLE}
