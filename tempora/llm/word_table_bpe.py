@@ -21,10 +21,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -34,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import arrow_type, schema, scratch_dir, slices, small_batches, table, trim
+from .common import arrow_type, forget_at_end, materialise, schema, scratch_dir, slices, small_batches, table, trim
 
 CHUNK_CHARS = 16 << 20
 SLICE_CHARS = 1 << 20
 #: Distinct words handed to the encoder at a time.
 ENCODE_WORDS = 1 << 12
+#: Distinct words of a part that are held at a time.
+TABLE_WORDS = 1 << 20
 
 
 class _Places(dict):
@@ -137,30 +137,37 @@ def split_words(df: DataFrame, vocabulary: str, parts: int, *, id_col: str, text
     return df.select(id_col, text_col).mapInArrow(run, out)
 
 
-def encode_words(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """(chunk, n, ids) from (chunk, part, words, numbers): a part of the word table at a time, each distinct word encoded once."""
+def encode_words(rows: DataFrame, vocabulary: str, parts: int) -> DataFrame:
+    """(chunk, n, ids) from (chunk, part, words, numbers): a part of the word table at a time, each of its distinct words encoded once.
 
-    def run(part: pa.Table) -> pa.Table:
+    Rows of a part stream by, so what is held is the part's distinct words. Beyond ``TABLE_WORDS`` of them the
+    table is begun anew, which costs encodings and changes no result; more parts avoid it.
+    """
+
+    def run(batches):
         library = bpe.library(vocabulary)
-        place_of, wanted = _Places(), []
-        for raw, numbers in zip(part["words"], part["numbers"], strict=True):
-            x = _unpack(numbers.as_py())
-            n = len(x) // 2
-            wanted.append((np.array(list(map(place_of.__getitem__, _unpack_words(raw.as_py(), x[:n]))), np.int64), x[n:]))
-        distinct = list(place_of)
-        lengths, flats = [], []
-        for at in range(0, len(distinct), ENCODE_WORDS):
-            got = [e.ids for e in library.encode_batch_fast(distinct[at : at + ENCODE_WORDS], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
-        n, flat = np.concatenate(lengths), np.concatenate(flats)
-        start = np.cumsum(n) - n
-        del place_of, distinct
-        packed = [_pack(np.concatenate([place, n[at].astype(np.uint32), flat[_ragged(start[at], n[at])]])) for at, place in wanted]
+        now, known = None, {}
+        for b in batches:
+            for chunk, part, raw, numbers in zip(*b.columns, strict=True):
+                if part.as_py() != now or len(known) > TABLE_WORDS:
+                    now, known = part.as_py(), {}
+                x = _unpack(numbers.as_py())
+                n = len(x) // 2
+                words = _unpack_words(raw.as_py(), x[:n])
+                new = [w for w in words if w not in known]  # a chunk holds a word once
+                for at in range(0, len(new), ENCODE_WORDS):
+                    some = new[at : at + ENCODE_WORDS]
+                    for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, "<u4").tobytes()
+                ids = [known[w] for w in words]
+                size = np.fromiter(map(len, ids), np.uint32, n) // 4
+                packed = _pack(np.concatenate([x[n:], size, np.frombuffer(b"".join(ids), "<u4")]))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "n", "ids"])
+        known.clear()
         trim()
-        return pa.table({"chunk": part["chunk"], "n": pa.array([len(at) for at, _ in wanted], pa.int32()), "ids": pa.array(packed, pa.binary())})
 
-    return rows.groupBy("part").applyInArrow(run, schema("chunk long, n int, ids binary"))
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "chunk")
+    return rows.select("chunk", "part", "words", "numbers").mapInArrow(run, schema("chunk long, n int, ids binary"))
 
 
 def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -178,7 +185,9 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split_words(df, vocabulary, buckets, id_col=id_col, text_col=text_col).write.bucketBy(buckets, "chunk").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     both = spark.table(name)
-    ids = encode_words(both.where("part is not null").select("chunk", "part", "words", "numbers"), vocabulary)
+    spark.sql(f"DROP TABLE {name}")  # its files stay until the session ends; buckets are known to the frame
+    forget_at_end(spark, f"{scratch_dir(spark)}/{name}")
+    ids = encode_words(both.where("part is not null"), vocabulary, buckets)
     texts = both.where("part is null").select("chunk", "docs", "counts", "numbers")
     out = T.StructType([df.schema[id_col], *schema(finish_schema).fields])
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
@@ -218,14 +227,28 @@ def decode_ids(ids, vocabulary: str) -> str:
     return b"".join([own[i] for i in ids]).decode("utf-8", "replace")
 
 
-def decode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and the text of the ids in ``ids_col``: position by position through the id-to-piece table."""
+def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """(id, piece): the bytes of each id."""
+    own = bpe.pieces(vocabulary)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(own)), pa.int64()), "piece": pa.array(own, pa.binary())}))
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decode_ids([int(i) for i in x], vocabulary) for x in ids])
 
-    return df.select(id_col, text(ids_col).alias("text"))
+def decode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id_col`` and the text of the ids in ``ids_col``: each position meets its piece by a join, and pieces are put together in order.
+
+    Null ids give null; what is not UTF-8 becomes U+FFFD. Repeated rows are decoded each.
+    """
+    pieces = F.broadcast(piece_table(df.sparkSession, vocabulary))  # as many rows as the vocabulary
+    rows = df.select(id_col, F.col(ids_col).alias("ids")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows, "ids")
+    at = rows.select("row", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
+    hexes = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: F.hex(x["piece"]))
+    joined = at.groupBy("row").agg(F.unhex(F.array_join(hexes, "")).alias("bytes"))
+    text = F.try_validate_utf8(F.col("bytes").cast("string"))
+    loose = F.udf(lambda x: None if x is None else bytes(x).decode("utf-8", "replace"), "string", useArrow=True)
+    valid = F.coalesce(text, F.when(text.isNull(), loose("bytes")))
+    out = rows.join(joined, "row", "left")
+    return out.select(id_col, F.when(F.col("ids").isNotNull(), F.coalesce(valid, F.lit(""))).alias("text"))
 
 
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
