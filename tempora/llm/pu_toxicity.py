@@ -4,13 +4,15 @@ Confirmed toxic texts are the positive set, texts without a label the unlabelled
 clean only give the class prior. With the prior pi the risk is estimated as
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)): the part in the bracket is the risk of the hidden clean texts,
 and where training drives it below zero it stays at zero, so the model can't gain by fitting the
-unlabelled texts. The loss is logistic, so a score is an estimate of the probability of a toxic text.
+unlabelled texts. The loss is logistic, so a score is an estimate of the probability of a toxic text; where
+training stops leaves the level of scores uncertain, so the bias is set last: the mean score of the unlabelled texts is the prior.
 
-Features are hashed words and word beginnings, by their counts over the root of the number of words. The model is linear,
-so a text's logit is a sum over its words and each distinct word is worked out once in a task.
+Features are hashed words and word beginnings. A word counts 1 + log(occurrences), over about the root of the number of words, so
+that a word said over and over weighs little more than one said twice. The model is linear, so a text's logit is
+a sum over its distinct words and each word is worked out once in a task.
 
-Fitting uses a bounded sample: at most ``POSITIVES`` and ``UNLABELLED`` training rows, those first in
-order of a hash of their text; the prior counts all labelled training rows. Scoring covers all rows in
+Fitting uses a bounded sample: at most ``POSITIVES`` and ``UNLABELLED`` different texts of training rows, those first in
+order of a hash of their text, so that copies don't fill it; the prior counts all labelled training rows. Scoring covers all rows in
 one narrow pass; the model sent along has ``2**HASH_BITS`` weights, whatever the corpus.
 
 Defined cases: null and empty texts, and texts without words, get the score of the bias alone; without
@@ -19,7 +21,9 @@ each other count as toxic if one does; null ids are scored and never matched to
 table gives an empty result.
 """
 
+import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +36,12 @@ HASH_BITS = 18
 BEGINNINGS = (4, 5, 6)
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 3000, 4000
-STEPS, RATE, DECAY = 160, 0.08, 2e-4
+STEPS, RATE, DECAY = 80, 0.08, 5e-4
 #: A feature is learned if it is in so many rows of the positive sample; the weight of one in less than this
 #: share of them decays the faster, by the ratio to this power. Chosen on folds of the training rows.
 SEEN_ROWS, COMMON_SHARE, RARER = 4, 0.2, 0.5
-#: Word counts are divided by this power of the number of words of the text, and multiplied.
-SCALE, POWER = 6.0, 0.5
+#: Weights of words are divided by this power of the number of words of the text, and multiplied. Chosen on folds, too.
+SCALE, POWER = 9.0, 0.55
 THRESHOLD = 0.7
 MEMO_WORDS = 300_000
 CUT_CHARS = 1 << 20
@@ -56,6 +60,15 @@ def words_of(text: str | None):
         at = end
 
 
+def counts_of(text: str | None) -> tuple[Counter, int]:
+    """Occurrences of each word of a text, and their number."""
+    counts, n = Counter(), 0
+    for words in words_of(text):
+        counts.update(words)
+        n += len(words)
+    return counts, n
+
+
 def word_features(word: bytes) -> list[int]:
     mask = (1 << HASH_BITS) - 1
     return [zlib.crc32(word) & mask] + [zlib.crc32(word[:k], k) & mask for k in BEGINNINGS if len(word) > k]
@@ -71,14 +84,13 @@ class Classifier:
         memo = self.__dict__.setdefault("memo", {})
         out = []
         for t in texts:
-            total, n = 0.0, 0
-            for ws in words_of(t):
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                for w in set(ws).difference(memo):
-                    memo[w] = float(self.weights[word_features(w)].sum())
-                total += sum(map(memo.__getitem__, ws))
-                n += len(ws)
+            counts, n = counts_of(t)
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            for w in counts.keys() - memo.keys():
+                memo[w] = float(self.weights[word_features(w)].sum())
+            x = np.fromiter(map(memo.__getitem__, counts), np.float64, len(counts))
+            total = float(x @ (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))))
             out.append(1 / (1 + np.exp(-np.clip(self.bias + SCALE * total / max(n, 1) ** POWER, -50, 50))))
         return out
 
@@ -110,16 +122,11 @@ class _Rows:
 
 def _packed(text: str | None) -> bytes:
     """A text's features, with shares, for training: (place, share) pairs."""
-    counts: dict[bytes, int] = {}
-    n = 0
-    for ws in words_of(text):
-        n += len(ws)
-        for w in ws:
-            counts[w] = counts.get(w, 0) + 1
+    counts, n = counts_of(text)
     shares: dict[int, float] = {}
     for w, c in counts.items():
         for f in word_features(w):
-            shares[f] = shares.get(f, 0.0) + SCALE * c / n**POWER
+            shares[f] = shares.get(f, 0.0) + SCALE * (1 + math.log(c)) / n**POWER
     return np.array(list(shares.items()), [("at", "<i4"), ("x", "<f4")]).tobytes() if shares else b""
 
 
@@ -148,7 +155,12 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
         if 2 * t > steps:  # steps to either side of zero make the last one arbitrary; the mean of the second half is not
             kept += 1
             mean += (theta - mean) / kept
-    return Classifier(mean[:-1].astype(np.float32), float(mean[-1]), prior)
+    w, z = mean[:-1], u.dot(mean[:-1])
+    low, high = -50.0, 50.0
+    for _ in range(60):  # the mean score rises with the bias
+        bias = (low + high) / 2
+        low, high = (low, bias) if sig(z + bias).mean() > prior else (bias, high)
+    return Classifier(w.astype(np.float32), bias, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
@@ -159,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     # ids and hashes alone are ordered; the sample's texts are fetched by id afterwards
     small = rows.select("id", "h")
-    sample = lambda df, n: df.orderBy("h", "id").limit(n).select("id")
+    sample = lambda df, n: df.groupBy("h").agg(F.min("id").alias("id")).where("id is not null").orderBy("h").limit(n).select("id")
     pos = sample(small.join(marks.where("y = 1"), "id", "left_semi"), positives)
     unl = sample(small.join(marks, "id", "left_anti"), unlabelled)
     picked = F.broadcast(pos.withColumn("side", F.lit("p")).union(unl.withColumn("side", F.lit("u"))))  # at most positives + unlabelled rows
