@@ -28,6 +28,8 @@ WIDTH = 192
 ROWS = 1024
 DELAY_CS = 4
 BINS = 8
+#: A file whose header asks for a larger canvas or frame is an error, before any of it is allocated.
+MAX_PIXELS = 1 << 26
 #: 256 grey levels, so that a sample is its own colour.
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -139,6 +141,9 @@ def lzw_decode(data: np.ndarray, min_bits: int, size: int) -> np.ndarray:
         extra, jump = extra + more, jump[jump]
     length = 1 + extra
     off = np.concatenate([[0], np.cumsum(length)])
+    if off[-1] > size:  # a stream may hold far more than its frame; what follows is not made
+        n = int(np.searchsorted(off[1:], size)) + 1
+        codes, literal, owner, length, off = codes[:n], literal[:n], owner[:n], length[:n], off[: n + 1]
     total = int(off[-1])
     if literal.all():
         return codes.astype(np.uint8)[:size]
@@ -239,6 +244,8 @@ def decode(data: bytes):
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         shared, at = buf[at : at + n].reshape(-1, 3), at + n
+    if width * height > MAX_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal = delay = clock = index = 0
     clear_index = None
@@ -277,6 +284,8 @@ def decode(data: bytes):
         min_bits = data[at]
         if not 2 <= min_bits <= 8:
             raise ValueError("bad code size")
+        if w * h > MAX_PIXELS:
+            raise ValueError("a frame is too large")
         stream, at = blocks(at + 1)
         samples = lzw_decode(stream, min_bits, w * h)
         if len(samples) < w * h:
@@ -330,18 +339,20 @@ def frames(df: DataFrame, *, id_col: str, gif_col: str) -> DataFrame:
     out = T.StructType([df.schema[id_col], *schema(FRAME_SCHEMA).fields])
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
+    def batch(row):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow)
+
     def run(batches):
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
+                made = 0
                 try:
                     for f in decode(data) if data is not None else ():
                         h = histogram(f.canvas).tolist()
-                        rows.append((key, f.index, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.canvas.tobytes(), *h, None))
+                        yield batch((key, f.index, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.canvas.tobytes(), *h, None))
+                        made += 1
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((key, len(rows), *[None] * 11, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+                    yield batch((key, made, *[None] * 11, str(e)))
 
     return df.select(id_col, gif_col).mapInArrow(run, out)
 
