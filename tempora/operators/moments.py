@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tempora.functions.columns import overlap
 from tempora.functions.intervals import SPANS, overlap_ratio, repair_segments, total_length
 from tempora.functions.text import title_of
-from tempora.operators.scoring import hook_at, window_at, with_hooks
+from tempora.operators.scoring import hook_at, window_at, with_hooks, with_totals
 from tempora.plans.config import Scoring, Validation
 
 # Texts of an evaluation.
@@ -75,7 +75,7 @@ def evaluate(moments: DataFrame, timeline: DataFrame, hooks: DataFrame | None, s
     sound that can save a silent moment is the loudest segment's. No penalty and no clamp applies.
     Moments meet their episode's timeline, windows are scored in that row as candidates are.
     """
-    t = with_hooks(timeline, hooks)
+    t = with_totals(with_hooks(timeline, hooks))
     x = moments.join(t, "episode_id")
     size = total_length(F.col(segs))
     scored = F.transform(segs, lambda s: F.struct(window_at(s["start"], s["end"], scoring).alias("w"), ((s["end"] - s["start"]) / F.when(size == 0, 1.0).otherwise(size)).alias("share")))

@@ -1,16 +1,18 @@
 """Sliding windows over timelines: statistics, six signals, a composite score, ranked candidates.
 
 A timeline row holds its episode's arrays, and windows are made and scored inside that row by
-higher-order functions; only finished windows leave it. No cell is copied per window, there is no
-range join, and after the timeline no shuffle.
+higher-order functions; only finished windows leave it. Means and sums are differences of running totals,
+which window functions make once per episode; runs of silence come from each cell's distance to the loud cells
+around it. Only percentiles and peaks look at a window's cells. There is no range join, and after the timeline no shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tempora.functions.columns import array_mean, array_peak, array_percentile, array_sum, clip01, let, longest_run, overlap, sweet_spot
+from tempora.functions.columns import array_peak, array_percentile, clip01, let, overlap, sweet_spot
 from tempora.plans.config import Scoring, window_lengths
 
 SILENT = 0.2
@@ -29,6 +31,46 @@ def _part(signal: str, lo: Column, hi: Column) -> Column:
     return F.slice(F.col(signal), lo + 1, F.greatest(hi - lo, F.lit(0)))
 
 
+#: Signals of which windows need sums, and those of which they need the cells.
+SUMMED, CELLS = ("speech", "words", "audio_energy", "face", "cuts", "motion"), ("audio_energy", "audio_sharpness", "face_ratio")
+
+
+def with_totals(timeline: DataFrame) -> DataFrame:
+    """``timeline`` with arrays of running totals (``total_*``), of the silent cells up to each cell (``hush``) and of the next loud cell (``loud``).
+
+    Window functions over an episode's cells. Where the timeline is dealt out by episode, nothing is shuffled.
+    """
+    cells = timeline.select("episode_id", F.posexplode(F.arrays_zip(*SUMMED)).alias("cell", "c"))
+    on, back = Window.partitionBy("episode_id").orderBy("cell"), Window.partitionBy("episode_id").orderBy(F.desc("cell"))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    loud = F.when(~(F.col("c.speech") < SILENT), F.col("cell"))
+    made = {f"total_{s}": F.sum(F.col("c")[s]).over(so_far(on)) for s in SUMMED}
+    made["hush"] = F.col("cell") - F.coalesce(F.last(loud, ignorenulls=True).over(so_far(on)), F.lit(-1))
+    made["loud"] = F.last(loud, ignorenulls=True).over(so_far(back))
+    by = cells.select("episode_id", "cell", *[v.alias(k) for k, v in made.items()]).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("cell", *made))).alias("grid"))
+    return timeline.join(by.select("episode_id", *[F.col("grid")[k].alias(k) for k in made]), "episode_id", "left")
+
+
+def _total(signal: str, lo: Column, hi: Column) -> Column:
+    """Sum over the cells [lo, hi)."""
+    upto = lambda k: F.coalesce(F.get(F.col(f"total_{signal}"), k - 1), F.lit(0.0))
+    return F.when(hi > lo, upto(hi) - upto(lo)).otherwise(0.0)
+
+
+def _mean(signal: str, lo: Column, hi: Column) -> Column:
+    return F.when(hi > lo, _total(signal, lo, hi) / (hi - lo)).otherwise(0.0)
+
+
+def _longest_hush(lo: Column, hi: Column) -> Column:
+    """Cells of the longest silence within [lo, hi): the one it begins in, cut at its start, or one that begins inside."""
+
+    def of_first(first):
+        rest = F.array_max(F.slice("hush", lo + first + 1, F.greatest(hi - lo - first, F.lit(0))))
+        return F.greatest(first, F.coalesce(rest, F.lit(0)))
+
+    return let(F.greatest(F.lit(0), F.least(F.coalesce(F.get("loud", lo), F.col("cells")), hi) - lo), of_first)
+
+
 def hook_at(start: Column, cfg: Scoring) -> Column:
     """The hook signal of a window's head with its evidence, as a struct."""
     end = F.least(F.col("duration_s"), start + cfg.hook_window_s)
@@ -38,7 +80,7 @@ def hook_at(start: Column, cfg: Scoring) -> Column:
         near = F.filter(F.coalesce("hooks", F.array().cast("array<struct<start:double,end:double,score:double,type:string,text:string>>")), lambda k: (overlap(k["start"], k["end"], h["start"], h["end"]) > 0) & (k["score"] > 0))
         # the best score wins; of equal ones the first in the list
         best = F.aggregate(near, F.lit(None).cast("struct<start:double,end:double,score:double,type:string,text:string>"), lambda a, k: F.when(a.isNull() | (k["score"] > a["score"]), k).otherwise(a))
-        found = F.struct(best.alias("hook"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("audio"), array_mean(_part("face", lo, hi)).alias("face"), array_mean(_part("speech", lo, hi)).alias("speech"))
+        found = F.struct(best.alias("hook"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("audio"), _mean("face", lo, hi).alias("face"), _mean("speech", lo, hi).alias("speech"))
 
         def scored(x):
             text = F.coalesce(x["hook"]["score"], F.lit(0.0))
@@ -54,20 +96,19 @@ def hook_at(start: Column, cfg: Scoring) -> Column:
     return let(F.struct(start.alias("start"), end.alias("end")), of_head)
 
 
-def window_at(start: Column, end: Column, cfg: Scoring) -> Column:
-    """Statistics and signals of [start, end) as a struct, unrounded."""
+def window_at(start: Column, end: Column, cfg: Scoring, head: Column | None = None) -> Column:
+    """Statistics and signals of [start, end) as a struct, unrounded. ``head`` is the hook at its start, where that is known."""
     c = cfg.cell_s
 
     def of_bounds(b):
         lo, hi = b["lo"], b["hi"]
         span = F.greatest(F.lit(1e-6), b["end"] - b["start"])
-        speech = _part("speech", lo, hi)
         stats = F.struct(
-            array_mean(speech).alias("speech_density"), (array_sum(_part("words", lo, hi)) / span).alias("words_per_s"),
-            (longest_run(speech, lambda x: x < SILENT) * F.lit(c)).alias("longest_silence_s"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("energy_p90"),
-            array_mean(_part("audio_energy", lo, hi)).alias("energy_mean"), array_peak(_part("audio_sharpness", lo, hi)).alias("sharpness"), array_mean(_part("face", lo, hi)).alias("face_coverage"),
-            array_peak(_part("face_ratio", lo, hi)).alias("face_peak"), (array_sum(_part("cuts", lo, hi)) / span * 60.0).alias("cuts_per_min"), array_mean(_part("motion", lo, hi)).alias("motion_mean"),
-            hook_at(b["start"], cfg).alias("head"),
+            _mean("speech", lo, hi).alias("speech_density"), (_total("words", lo, hi) / span).alias("words_per_s"),
+            (_longest_hush(lo, hi) * F.lit(c)).alias("longest_silence_s"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("energy_p90"),
+            _mean("audio_energy", lo, hi).alias("energy_mean"), array_peak(_part("audio_sharpness", lo, hi)).alias("sharpness"), _mean("face", lo, hi).alias("face_coverage"),
+            array_peak(_part("face_ratio", lo, hi)).alias("face_peak"), (_total("cuts", lo, hi) / span * 60.0).alias("cuts_per_min"), _mean("motion", lo, hi).alias("motion_mean"),
+            (hook_at(b["start"], cfg) if head is None else head).alias("head"),
         )
         return let(stats, lambda s: F.struct(b["start"].alias("start"), b["end"].alias("end"), s.alias("stats"), _signals(s, cfg).alias("signals")))
 
@@ -108,19 +149,19 @@ def warnings_of(w, cfg: Scoring) -> Column:
 
 
 def _window(step: float, length: float):
-    return lambda i: F.struct((i * step).cast("double").alias("start"), (i * step + length).cast("double").alias("end"))
+    return lambda i: F.struct((i * step).cast("double").alias("start"), (i * step + length).cast("double").alias("end"), i.alias("no"))
 
 
 def windows_of(min_s: float, max_s: float, cfg: Scoring) -> Column:
-    """Starts and ends of an episode's sliding windows; the whole episode if none fits."""
+    """Starts, ends and numbers of starts of an episode's sliding windows; the whole episode if none fits."""
     step = max(0.25, cfg.step_s)
     every = []
     for length in window_lengths(min_s, max_s, cfg.length_steps):
         last = F.floor((F.col("duration_s") - length + 1e-6) / step).cast("int")
         made = F.transform(F.sequence(F.lit(0), last), _window(step, length))
-        every.append(F.when(F.col("duration_s") >= length, made).otherwise(F.array().cast("array<struct<start:double,end:double>>")))
+        every.append(F.when(F.col("duration_s") >= length, made).otherwise(F.array().cast("array<struct<start:double,end:double,no:int>>")))
     some = F.flatten(F.array(*every))
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit(0.0).alias("start"), F.col("duration_s").alias("end"))))
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit(0.0).alias("start"), F.col("duration_s").alias("end"), F.lit(0).alias("no"))))
 
 
 def score_windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring) -> DataFrame:
@@ -131,8 +172,16 @@ def score_windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, ma
     """
     # timelines are small for the work in them: by size alone they would all be put in one task
     tasks = max(2 * timeline.sparkSession.sparkContext.defaultParallelism, int(timeline.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = with_hooks(timeline, hooks).repartition(tasks, "episode_id")
-    made = F.transform(windows_of(min_s, max_s, cfg), lambda w: window_at(w["start"], w["end"], cfg))
+    x = with_totals(with_hooks(timeline, hooks).repartition(tasks, "episode_id"))
+    windows, step = windows_of(min_s, max_s, cfg), max(0.25, cfg.step_s)
+
+    def of_windows(all_):
+        # windows of all lengths share their starts: a hook is worked out once for each
+        last = F.array_max(F.transform(all_, lambda w: w["no"]))
+        heads = F.transform(F.sequence(F.lit(0), last), lambda i: hook_at((i * step).cast("double"), cfg))
+        return let(heads, lambda h: F.transform(all_, lambda w: window_at(w["start"], w["end"], cfg, F.get(h, w["no"]))))
+
+    made = let(windows, of_windows)
     w = F.col("w")
     out = x.select("episode_id", F.explode(made).alias("w"))
     return out.select("episode_id", F.round(w["start"], 3).alias("start_s"), F.round(w["end"], 3).alias("end_s"), F.round(w["end"] - w["start"], 3).alias("duration_s"), score_of(w, cfg).alias("score"), w["signals"].alias("signals"), w["stats"].alias("stats"), warnings_of(w, cfg).alias("warnings"))
