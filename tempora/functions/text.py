@@ -56,6 +56,22 @@ def subtitle(c: Column) -> Column:
     return caps(collapse(F.replace(one_tag_form(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit(" "))))
 
 
+def sanitised(segments: Column) -> tuple[Column, Column]:
+    """A transcript's segments (structs with text and words, structs with word) as subtitles are shown, and the text they make together.
+
+    Words that nothing is left of go; a segment without words has null for them. Other fields stay.
+    """
+
+    def shown(segment):
+        words = F.transform(segment["words"], lambda w: w.withField("word", F.replace(subtitle(w["word"]), F.lit(" "), F.lit(""))))
+        kept = F.filter(words, lambda w: w["word"] != "")
+        return segment.withField("text", subtitle(segment["text"])).withField("words", F.when(F.size(kept) > 0, kept))
+
+    out = F.transform(segments, shown)
+    lines = F.filter(F.transform(out, lambda s: F.trim(s["text"])), lambda t: t != "")
+    return out, F.trim(F.array_join(lines, " "))
+
+
 def tokens(c: Column) -> Column:
     """Words, with highlight tags as words of their own."""
     apart = F.regexp_replace(c, r"(?i)(<\s*[\\/]?\s*hl\s*>)", " $1 ")
@@ -177,6 +193,12 @@ def quality(c: Column) -> Column:
     return F.rtrim(c.cast("string"), F.lit("pP")).try_cast("int")
 
 
+def episode_file_name(title: Column, episode: Column, voice: Column, max_quality: Column) -> Column:
+    """Name of a downloaded episode's file; without a quality it is ``auto``."""
+    part = F.when(max_quality.isNotNull() & (max_quality != 0), F.concat(max_quality.cast("string"), F.lit("p"))).otherwise(F.lit("auto"))
+    return F.concat(file_stem(F.concat_ws(" - ", title, F.concat(F.lit("Серия "), episode.cast("string")), voice, part)), F.lit(".mp4"))
+
+
 @F.pandas_udf(T.StringType())
 def safe_filename(names: pd.Series) -> pd.Series:
     """Decomposed, with forbidden characters and spaces as single underscores, at most 150 characters."""

@@ -258,16 +258,28 @@ class Camera:
 TRACK = "t double, cx double, cy double, zoom double, has_face boolean, is_cut boolean"
 
 
+def large_and_sure(detections: DataFrame, width: float, height: float, *, min_face_ratio: float, min_confidence: float = 0.0, least_pixels: float = 16.0) -> DataFrame:
+    """Detections that count: boxes with an area, no side below the least size in pixels, sure enough.
+
+    The least size is a share of the frame's shorter side. Boxes are relative to the frame.
+    """
+    from pyspark.sql import functions as F
+
+    least = max(least_pixels, min(width, height) * min_face_ratio)
+    sure = F.coalesce("score", F.lit(0.0)) >= min(max(min_confidence, 0.0), 1.0)
+    return detections.where((F.col("w") > 0) & (F.col("h") > 0) & (F.least(F.col("w") * width, F.col("h") * height) >= least) & sure)
+
+
 def track(frames: DataFrame, detections: DataFrame, cfg: CameraConfig | None = None) -> DataFrame:
     """Camera states of each episode.
 
     ``frames`` is (episode_id, t, diff: difference to the frame before, null for the first), ``detections``
-    (episode_id, t, cx, cy, w, h, score). A task holds one episode's frames.
+    (episode_id, t, cx, cy, w, h, score); those of a frame are taken by falling score. A task holds one episode's frames.
     """
     from pyspark.sql import functions as F
 
     cfg = cfg or resolve()
-    seen = detections.groupBy("episode_id", "t").agg(F.array_sort(F.collect_list(F.struct("cx", "cy", "w", "h", "score"))).alias("faces"))
+    seen = detections.groupBy("episode_id", "t").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "cx", "cy", "w", "h", "score"))).alias("faces"))
     kind = frames.schema["episode_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

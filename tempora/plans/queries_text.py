@@ -86,13 +86,11 @@ def transcript_render(spark, d):
 
 
 def text_caps_strip(spark, d):
-    plain = F.replace(F.substring("text", 1, 200), F.lit("ß"), F.lit("ss"))
-    return read(spark, d, "documents").where("text is not null").select("doc_id", text.subtitle(plain).alias("caps"))
+    return read(spark, d, "documents").where("text is not null").select("doc_id", text.subtitle(F.col("text")).alias("caps"))
 
 
 def title_from_text(spark, d):
-    plain = F.replace("text", F.lit("ß"), F.lit("ss"))
-    return read(spark, d, "documents").where("text is not null").select("doc_id", text.title_of(F.regexp_replace(plain, r"[^\x20-\x7e]", ""), "CLIP").alias("title"))
+    return read(spark, d, "documents").where("text is not null").select("doc_id", text.title_of(F.col("text"), "CLIP").alias("title"))
 
 
 def word_chunks(spark, d):
@@ -130,7 +128,7 @@ def batch_of_ten(spark, d):
 
 def new_files_anti(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("path"))
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("path"))
+    o = read(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("path"))
     return files.new_files(c, o)
 
 
@@ -148,8 +146,8 @@ def fuzzy_title_match(spark, d):
 
 def player_order(spark, d):
     p = read(spark, d, "part")
-    x = p.select((F.col("p_partkey") % 50).alias("episode"), F.col("p_partkey").alias("no"), F.col("p_name").alias("label"), F.element_at(F.array(*map(F.lit, (*matching.PLAYERS, "other"))), (F.col("p_partkey") % 9 + 1).cast("int")).alias("player"))
-    return matching.order_players(x, key="episode").select("episode", "no", "rank")
+    x = p.select((F.col("p_partkey") % 50).alias("episode"), F.col("p_partkey").alias("no"), F.when(F.col("p_size") % 3 == 0, "Studio").when(F.col("p_size") % 3 == 1, "stud").otherwise("xyz").alias("label"), F.element_at(F.array(*map(F.lit, (*matching.PLAYERS, "other"))), (F.col("p_partkey") % 9 + 1).cast("int")).alias("player"))
+    return matching.order_players(x, key="episode", voice="studio").select("episode", "no", "rank", F.round("voice_score", 6).alias("voice_score"))
 
 
 def safe_file_names(spark, d):
@@ -191,8 +189,8 @@ SELECT episode_id, key, round(sum(round(density, 3) * share), 3) AS speech_densi
     "heuristic_moments": f"""WITH {SQL}, {WINDOWS}, {CHOSEN} SELECT c.episode_id, rank::INT AS moment_no, CASE WHEN trim(htext) = '' THEN 'clip' ELSE upper(htext) END AS title, p.n AS duration_s, s.score, 'heuristic_candidate' AS source FROM cand c JOIN scored s ON c.episode_id = s.episode_id AND c.p.s = s.start_s AND c.p.n = s.len WHERE rank <= 3""",
     "transcript_projection": r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM conversations",
     "transcript_render": r"SELECT conv_id AS episode_id, md5(string_agg(printf('[%.2f-%.2f] %s', turn::DOUBLE, turn + 0.5::DOUBLE, text) || chr(10), '' ORDER BY turn)) AS md5, length(string_agg(printf('[%.2f-%.2f] %s', turn::DOUBLE, turn + 0.5::DOUBLE, text) || chr(10), '' ORDER BY turn))::INT AS chars FROM conversations GROUP BY 1",
-    "text_caps_strip": rf"SELECT doc_id, trim(regexp_replace(upper(regexp_replace(trim(regexp_replace(replace(replace(substr(text, 1, 200), 'ß', 'ss'), '_', ' '), '\s+', ' ', 'g')), '{_PUNCT}', '', 'g')), '\s+', ' ', 'g')) AS caps FROM documents WHERE text IS NOT NULL",
-    "title_from_text": r"WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '[^\x20-\x7e]', '', 'g'), '[^A-Za-z0-9_\s\-]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, trim(left(upper(array_to_string(string_split(t, ' ')[1:6], ' ')), 45)) AS t FROM x) SELECT doc_id, CASE WHEN t <> '' THEN t ELSE 'CLIP' END AS title FROM y",
+    "text_caps_strip": rf"SELECT doc_id, trim(regexp_replace(upper(regexp_replace(trim(regexp_replace(replace(replace(text, 'ß', 'ss'), '_', ' '), '\s+', ' ', 'g')), '{_PUNCT}', '', 'g')), '\s+', ' ', 'g')) AS caps FROM documents WHERE text IS NOT NULL",
+    "title_from_text": r"WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s\-]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, trim(left(upper(array_to_string(string_split(t, ' ')[1:6], ' ')), 45)) AS t FROM x) SELECT doc_id, CASE WHEN t <> '' THEN t ELSE 'CLIP' END AS title FROM y",
     "word_chunks": r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations WHERE text IS NOT NULL), n AS (SELECT *, len(ws) AS n, unnest(range(0, ((len(ws) + 4) // 5)::BIGINT)) AS i FROM w)
 SELECT conv_id, turn, i::INT AS i, array_to_string(ws[i * 5 + 1:i * 5 + 5], ' ') AS text, round(turn + i * 5 * (1.0::DOUBLE / n), 6) AS start_s, round(least(turn + 1.0::DOUBLE, turn + (least(i * 5 + 5, n) - 1) * (1.0::DOUBLE / n) + 1.0::DOUBLE / n), 6) AS end_s FROM n""",
     "title_wrap": r"WITH w AS (SELECT p_partkey, regexp_extract_all(p_name, '\S+') AS ws FROM part) SELECT p_partkey, array_to_string(list_transform(range(0, ((len(ws) + 1) // 2)::BIGINT), lambda i: array_to_string(ws[i * 2 + 1:i * 2 + 2], ' ')), chr(10)) AS lines FROM w",
@@ -200,9 +198,9 @@ SELECT conv_id, turn, i::INT AS i, array_to_string(ws[i * 5 + 1:i * 5 + 5], ' ')
     "clean_names": r"SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || '_' || p_brand, '[^A-Za-z0-9_]+', ' ', 'g'), '[_\s]+', ' ', 'g')) AS name, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS title, p_size * 10 AS quality FROM part",
     "message_html": "SELECT p_partkey, p_name || ' &lt;b&gt; &amp; &#x27;x&#x27;' || chr(10) || chr(10) || '<b>Название аниме:</b> ' || p_brand AS message FROM part",
     "batch_of_ten": "SELECT l_suppkey, (n // 10)::INT AS batch, count(*) AS items, min(item) AS first_item FROM (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS n FROM lineitem) GROUP BY 1, 2",
-    "new_files_anti": "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "new_files_anti": "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "stream_pick": "SELECT l_orderkey, quality, is_master, is_mp4 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY quality > 720, is_master, quality DESC, is_mp4 DESC) AS n FROM (SELECT l_orderkey, (l_quantity * 30)::INT AS quality, l_returnflag = 'R' AS is_master, l_linestatus = 'F' AS is_mp4 FROM lineitem)) WHERE n = 1",
-    "player_order": "SELECT episode, no, row_number() OVER (PARTITION BY episode ORDER BY no % 9, no)::INT AS rank FROM (SELECT p_partkey % 50 AS episode, p_partkey AS no FROM part)",
+    "player_order": "SELECT episode, no, row_number() OVER (PARTITION BY episode ORDER BY voice_score DESC, no % 9, no)::INT AS rank, voice_score FROM (SELECT p_partkey % 50 AS episode, p_partkey AS no, [1.0, 0.8, 0.0][p_size % 3 + 1]::DOUBLE AS voice_score FROM part)",
     "visible_region": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 - 300 AS s, l_tax * 1000 AS n FROM lineitem), y AS (SELECT *, greatest(0, least(100, s)) AS lo, greatest(greatest(0, least(100, s)), least(100, s + n)) AS hi FROM x), z AS (SELECT *, CASE WHEN hi > lo THEN lo + (hi - lo) / 2 ELSE 50 END AS c, greatest(1, least(100, abs(n))) AS spare FROM y)
 SELECT l_orderkey, l_linenumber, round(c, 6) AS centre, round(CASE WHEN hi > lo THEN lo ELSE greatest(0, least(100 - spare, c - spare / 2)) END, 6) AS left, round(CASE WHEN hi > lo THEN hi - lo ELSE spare END, 6) AS width FROM z""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -27,12 +29,18 @@ def prepare(root: str | Path, name: str, folders: Sequence[str] = ("input", "out
 
 
 def ensure_config(root: str | Path, name: str, default: str) -> str:
-    """The channel's config.yaml as text, written from ``default`` if there is none."""
+    """The channel's config.yaml as text, written from ``default`` if there is none; warns where it names another channel."""
     p = Path(root) / name / "config.yaml"
     if not p.exists():
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(default, encoding="utf-8")
-    return p.read_text(encoding="utf-8")
+        return default
+    text = p.read_text(encoding="utf-8")
+    named = re.search(r"(?m)^channel_name:[ \t]*(?:'([^'\n]*)'|\"([^\"\n]*)\"|([^#\n]*?))[ \t]*(?:#.*)?$", text)
+    said = next((g for g in named.groups() if g is not None), "") if named else None
+    if said != name:
+        warnings.warn(f"{p} names the channel {said!r}, its folder {name!r}", stacklevel=2)
+    return text
 
 
 def valid_channels(root: str | Path, **kw) -> list[str]:

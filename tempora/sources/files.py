@@ -64,11 +64,27 @@ def rendered_transcript(segments: DataFrame) -> DataFrame:
     return by.select("episode_id", F.array_join(F.transform("all", lambda x: x["line"]), "").alias("text"))
 
 
-def prompt_payload(candidates: DataFrame, transcript: DataFrame | None = None) -> DataFrame:
-    """(episode_id, payload): labelled blocks of text for a model; candidates as a JSON array in rank order."""
-    row = F.struct(*[c for c in candidates.columns if c != "episode_id"])
-    blocks = candidates.groupBy("episode_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("c"))
-    label = F.concat(F.lit("CANDIDATES:\n"), "c")
-    if transcript is None:
-        return blocks.select("episode_id", label.alias("payload"))
-    return blocks.join(transcript, "episode_id", "left").select("episode_id", F.concat_ws("\n\n", F.concat(F.lit("TRANSCRIPT:\n"), F.coalesce("text", F.lit(""))), label).alias("payload"))
+# Labels of the blocks, in their order.
+BLOCKS = {
+    "transcript": "ТРАНСКРИПТ ДЛЯ АНАЛИЗА:", "audio": "АУДИО ДЛЯ АНАЛИЗА:", "faces": "ЛИЦА ДЛЯ АНАЛИЗА:", "visual": "ВИЗУАЛ ДЛЯ АНАЛИЗА:",
+    "tempo": "ТЕМП ДЛЯ АНАЛИЗА:", "emotion": "ЭМОЦИИ ДЛЯ АНАЛИЗА:", "hooks": "HOOKS ДЛЯ АНАЛИЗА:", "candidates": "КАНДИДАТЫ ДЛЯ АНАЛИЗА:",
+}
+RULE = "---"
+
+
+def prompt_payload(episodes: DataFrame, transcript: DataFrame, **signals: DataFrame) -> DataFrame:
+    """(episode_id, payload): labelled blocks of text for a model, between rules.
+
+    ``transcript`` is (episode_id, text); each of ``signals``, named as in ``BLOCKS``, becomes an indented JSON array of its
+    rows in the order of its columns. A block without rows is an empty array, or empty text.
+    """
+    if unknown := set(signals) - set(BLOCKS):
+        raise ValueError(f"unknown blocks: {sorted(unknown)}")
+    out = episodes.select("episode_id").join(transcript.select("episode_id", F.col("text").alias("transcript")), "episode_id", "left")
+    for name, rows in signals.items():
+        row = F.struct(*[c for c in rows.columns if c != "episode_id"])
+        block = F.to_json(F.array_sort(F.collect_list(row)), {"pretty": "true"})
+        out = out.join(rows.groupBy("episode_id").agg(block.alias(name)), "episode_id", "left")
+    text = lambda name: F.coalesce(F.col(name), F.lit("" if name == "transcript" else "[]")) if name in out.columns else F.lit("[]")
+    parts = [x for name, label in BLOCKS.items() for x in (F.lit(label), text(name))]
+    return out.select("episode_id", F.concat_ws("\n", F.lit(RULE), *parts, F.lit(RULE)).alias("payload"))

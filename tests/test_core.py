@@ -209,3 +209,96 @@ def test_streamed_camera_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("camera").orderBy("t").collect()
     assert [r["t"] for r in got] == [r["t"] for r in want] and all(abs(a["cx"] - b["cx"]) < 1e-12 for a, b in zip(got, want))
+
+
+def test_detections_that_are_small_or_unsure_go(spark):
+    rows = [(1, 0.0, 0.5, 0.5, 0.2, 0.3, 0.9), (1, 0.0, 0.1, 0.5, 0.008, 0.3, 0.9), (1, 0.0, 0.2, 0.5, 0.0, 0.3, 0.9), (1, 0.0, 0.3, 0.5, 0.2, 0.3, 0.4), (1, 0.0, 0.4, 0.5, 0.1, 0.1, 0.5), (1, 0.0, 0.6, 0.5, 0.2, 0.3, None)]
+    d = spark.createDataFrame(rows, "episode_id long, t double, cx double, cy double, w double, h double, score double")
+    kept = lambda **k: sorted(r["cx"] for r in camera.large_and_sure(d, 1920, 1080, **k).collect())
+    assert kept(min_face_ratio=0.05, min_confidence=0.5) == [0.4, 0.5]
+    assert kept(min_face_ratio=0.11, min_confidence=0.5) == [0.5]  # 0.1 of the height is below 0.11 of it
+    assert kept(min_face_ratio=0.0) == [0.3, 0.4, 0.5, 0.6]  # 16 pixels at least
+
+
+def test_faces_are_taken_by_falling_score(spark):
+    frames = spark.createDataFrame([(1, i / 8, 0.0 if i else None) for i in range(16)], "episode_id long, t double, diff double")
+    twins = spark.createDataFrame([(1, i / 8, cx, 0.5, 0.1, 0.1, score) for i in range(16) for cx, score in ((0.3, 0.6), (0.7, 0.9))], "episode_id long, t double, cx double, cy double, w double, h double, score double")
+    last = camera.track(frames, twins).orderBy(F.desc("t")).first()
+    assert last["cx"] > 0.5
+
+
+def test_transcript_as_it_is_shown(spark):
+    segments = "array<struct<start:double,text:string,words:array<struct<word:string,start:double>>>>"
+    rows = [([(0.0, "so, <hl>this_is</hl> it!", [("so,", 0.0), ("<h1>this_is</h1>", 0.1), ("!", 0.2)]), (1.0, "...", [("?", 1.0)]), (2.0, None, None)],)]
+    out, joined = text.sanitised(F.col("s"))
+    r = spark.createDataFrame(rows, f"s {segments}").select(out.alias("s"), joined.alias("text")).first()
+    assert r["text"] == "SO <hl>THIS IS</hl> IT" and [x["text"] for x in r["s"]] == ["SO <hl>THIS IS</hl> IT", "", ""]
+    assert [(w["word"], w["start"]) for w in r["s"][0]["words"]] == [("SO", 0.0), ("<hl>THISIS</hl>", 0.1)] and r["s"][1]["words"] is None and r["s"][2]["words"] is None
+
+
+def test_payload_has_eight_blocks_in_order(spark):
+    import json
+
+    from tempora.sources import files
+
+    eps = spark.createDataFrame([(1,), (2,)], "episode_id long")
+    lines = spark.createDataFrame([(1, "[0.00-1.00] hello\n")], "episode_id long, text string")
+    c = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.9)], "episode_id long, rank int, score double")
+    got = {r["episode_id"]: r["payload"].split("\n") for r in files.prompt_payload(eps, lines, candidates=c, hooks=c.limit(0)).collect()}
+    for one_ in got.values():
+        assert one_[0] == one_[-1] == files.RULE and [x for x in one_ if x in files.BLOCKS.values()] == list(files.BLOCKS.values())
+    last = got[1][got[1].index(files.BLOCKS["candidates"]) + 1 : -1]
+    assert json.loads("\n".join(last)) == [{"rank": 1, "score": 0.9}, {"rank": 2, "score": 0.5}] and got[2][-2] == "[]" and "[0.00-1.00] hello" in got[1]
+    with pytest.raises(ValueError):
+        files.prompt_payload(eps, lines, other=c)
+
+
+def test_names_of_files(spark):
+    rows = [("Show: one/two", 3, "Voice", 720), ("Show", 4, None, None)]
+    x = spark.createDataFrame(rows, "title string, episode int, voice string, q int").select(text.episode_file_name(F.col("title"), F.col("episode"), F.col("voice"), F.col("q")).alias("n"))
+    assert [r["n"] for r in x.collect()] == ["Show-_one-two_-_Серия_3_-_Voice_-_720p.mp4", "Show_-_Серия_4_-_auto.mp4"]
+    names = spark.createDataFrame([(' a<b>:"c"/d\\e|f?*g  «h» .',), ("___",), (None,), ("x" * 200,), ("!!!",)], "n string").select(text.safe_filename("n").alias("s"), text.file_stem("n").alias("f")).collect()
+    assert [r["s"] for r in names] == ["a_b_c_d_e_f_g_h", "", None, "x" * 150, "!!!"] and names[1]["f"] == "___" and names[4]["f"] == "episode" and names[2]["f"] is None
+
+
+def test_config_of_another_channel_is_warned_of(tmp_path):
+    assert channels.ensure_config(tmp_path, "one", "channel_name: one\n") == "channel_name: one\n"
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        channels.ensure_config(tmp_path, "one", "")
+    (tmp_path / "one" / "config.yaml").write_text("a: 1\nchannel_name: 'two'  # moved\n")
+    with pytest.warns(UserWarning, match="two"):
+        channels.ensure_config(tmp_path, "one", "")
+
+
+@pytest.mark.parametrize(("spans", "limits", "want"), [
+    ([(0, 10), (20, 30), (40, 50)], (5, 24), [(0, 10), (20, 30), (40, 44)]),  # the last gives up what it has above the minimum
+    ([(0, 20), (30, 34), (40, 44)], (5, 24), [(0, 20), (30, 34)]),  # one at the minimum goes whole
+    ([(0, 4), (10, 14)], (12, 30), [(0, 4), (10, 18)]),  # grows forward
+    ([(0, 4), (54, 60)], (14, 30), [(0, 4), (50, 60)]),  # and back, at the end of the source
+    ([(0, 10), (10, 20)], (5, 30), [(0, 20)]),
+    ([(0, 10), (5, 20)], (5, 30), [(0, 20)]),  # what an earlier piece holds is taken
+    ([(70, 80), (9, 3)], (5, 30), []),
+])
+def test_cut_lists_are_repaired(spans, limits, want):
+    fix = intervals.Repair(Validation.resolve({"min_segment_s": 4.0, "snap_tolerance_s": 0.0}), *limits)
+    assert fix([(float(a), float(b)) for a, b in spans], [], 60.0)[0] == want
+
+
+def test_spectral_centroid_of_a_tone(spark):
+    tone = [math.sin(2 * math.pi * 1000 * i / 16000) for i in range(640)]
+    got = spark.createDataFrame([(tone,), ([0.0] * 640,)], "samples array<double>").select(dsp.spectral_centroid("samples", 16000).alias("c")).collect()
+    assert got[0]["c"] == pytest.approx(1000, abs=5) and got[1]["c"] == 0
+
+
+def test_whole_analysis_runs(spark, inputs):
+    from tempora.plans import analyze
+
+    _, seg, audio, faces, cuts, motion, _ = inputs
+    a = analyze.analyze(seg, audio, faces, motion, cuts, min_s=10.0, max_s=20.0)
+    assert a.episodes.collect()[0]["duration_s"] == pytest.approx(59.4) and a.candidates.count() > 0
+    answers = spark.createDataFrame([(1, '{"m": {"title": "a", "segments": [{"start": 6.0, "end": 20.0}]}}')], "episode_id long, raw_json string")
+    chosen = analyze.validate(a, answers, seg, cuts, min_s=10.0, max_s=20.0, max_count=2).collect()
+    assert chosen and analyze.fallback(a, 1, "t").count() == 1

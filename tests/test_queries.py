@@ -11,8 +11,6 @@ from tempora.plans import catalogue
 D = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
-#: Scored windows take longest; one of each kind stands for the rest here.
-SLOW = {"window_stats", "longest_silence", "hook_head_signal", "candidates_nms", "heuristic_moments"}
 
 
 def rows(df):
@@ -21,7 +19,7 @@ def rows(df):
     return sorted(repr([plain(x) for x in r]) for r in df.astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, name):
     got = catalogue.queries()[name](spark, D).toPandas()
     sql = catalogue.oracle_sql().get(name)
