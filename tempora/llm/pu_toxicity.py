@@ -87,8 +87,9 @@ class Classifier:
             counts, n = counts_of(t)
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            for w in counts.keys() - memo.keys():
-                memo[w] = float(self.weights[word_features(w)].sum())
+            for w in counts:
+                if w not in memo:
+                    memo[w] = float(self.weights[word_features(w)].sum())
             x = np.fromiter(map(memo.__getitem__, counts), np.float64, len(counts))
             total = float(x @ (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))))
             out.append(1 / (1 + np.exp(-np.clip(self.bias + SCALE * total / max(n, 1) ** POWER, -50, 50))))
