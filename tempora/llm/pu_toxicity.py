@@ -36,7 +36,9 @@ HASH_BITS = 18
 BEGINNINGS = (4, 5, 6)
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 3000, 4000
-STEPS, RATE, DECAY = 80, 0.08, 5e-4
+STEPS, RATE = 80, 0.08
+#: Weights decay by this over the number of positive rows, so that more rows count for more against it.
+DECAY = 0.15
 #: A feature is learned if it is in so many rows of the positive sample; the weight of one in less than this
 #: share of them decays the faster, by the ratio to this power. Chosen on folds of the training rows.
 SEEN_ROWS, COMMON_SHARE, RARER = 4, 0.2, 0.5
@@ -137,7 +139,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
     rows_with = np.bincount(p.at, minlength=size)
     for rows in (p, u):
         rows.keep(rows_with >= SEEN_ROWS)
-    decay = DECAY * np.maximum(1, COMMON_SHARE * p.n / np.maximum(rows_with, 1)) ** RARER
+    decay = DECAY / p.n * np.maximum(1, COMMON_SHARE * p.n / np.maximum(rows_with, 1)) ** RARER
     theta = np.zeros(size + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
