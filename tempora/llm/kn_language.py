@@ -37,6 +37,8 @@ CODES = 1 << CODE_BITS
 PART_BYTES, RESIDENT_BYTES = 64 << 20, 256 << 20
 #: Grams counted at a time in a task; four times as many distinct ones are held before they are passed on.
 HOLD_GRAMS = 1 << 18
+#: Grams of a batch handed back to Spark, which holds batches outside its heap and keeps what it once took there.
+OUT_GRAMS = 1 << 14
 #: Room above the highest cross-entropy of own texts: nats, and nats times the root of the length.
 ROOM, SHORT_ROOM = 1.0, 8.0
 SPACE = 32
@@ -100,7 +102,10 @@ def count_grams(train: DataFrame, *, text_col: str, lang_col: str, order: int =
                 at = np.argsort(g, kind="stable")
                 g, n = g[at], n[at]
                 first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), pa.array(g[first]), pa.array(np.add.reduceat(n, first))], names=["lang", "gram", "n"])
+                g, n = g[first], np.add.reduceat(n, first)
+                for lo in range(0, len(g), OUT_GRAMS):
+                    part = slice(lo, lo + OUT_GRAMS)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(g[part])), pa.array(g[part]), pa.array(n[part])], names=["lang", "gram", "n"])
             held.clear()
 
         for b in batches:
