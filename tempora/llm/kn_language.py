@@ -36,7 +36,7 @@ CODES = 1 << CODE_BITS
 #: Of the model: bytes of a part, and of the parts that a worker holds between stretches of text.
 PART_BYTES, RESIDENT_BYTES = 64 << 20, 256 << 20
 #: Grams counted at a time in a task; four times as many distinct ones are held before they are passed on.
-HOLD_GRAMS = 1 << 18
+HOLD_GRAMS = 1 << 17
 #: Grams of a batch handed back to Spark, which holds batches outside its heap and keeps what it once took there.
 OUT_GRAMS = 1 << 14
 #: Room above the highest cross-entropy of own texts: nats, and nats times the root of the length.
