@@ -29,7 +29,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Give a worker's freed memory back to the system at the end of a task; workers are reused and idle ones keep theirs."""
+    """Give freed memory back to the system: a worker's at the end of a task, as idle ones keep theirs, and the driver's between jobs."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -57,6 +57,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
+    trim()  # the driver's own, of models it made
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     forget_at_end(spark, path)

@@ -106,13 +106,14 @@ class _Rows:
         parts = [np.frombuffer(p, [("at", "<i4"), ("x", "<f4")]) for p in packed]
         size = np.array([len(p) for p in parts], np.int64)
         flat = np.concatenate(parts) if parts else np.zeros(0, [("at", "<i4"), ("x", "<f4")])
-        self.at, self.x = flat["at"].astype(np.int64), flat["x"].astype(np.float64)
-        self.row = np.repeat(np.arange(len(parts)), size)
+        self.at, self.x = flat["at"], flat["x"]
+        self.row = np.repeat(np.arange(len(parts), dtype=np.int32), size)
         self.n = len(parts)
 
     def keep(self, features):
+        """Leave only these features; what is left takes its wide form, as most go."""
         at = features[self.at]
-        self.at, self.x, self.row = self.at[at], self.x[at], self.row[at]
+        self.at, self.x, self.row = self.at[at].astype(np.int64), self.x[at].astype(np.float64), self.row[at].astype(np.int64)
 
     def dot(self, w):
         return np.bincount(self.row, weights=self.x * w[self.at], minlength=self.n)
