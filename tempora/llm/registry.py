@@ -4,7 +4,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collision_embeddings, curve_packing, gif_columns, kn_language, line_runs, pivot_simhash, pu_toxicity, token_counts, url_aliases, word_table_bpe
+from . import (
+    collision_embeddings,
+    curve_packing,
+    fim_automaton,
+    gif_columns,
+    kn_language,
+    line_runs,
+    pivot_simhash,
+    pu_toxicity,
+    token_counts,
+    url_aliases,
+    word_table_bpe,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +33,14 @@ def queries() -> dict[str, Query]:
         "op8_pu_toxicity": pu_toxicity.op8_pu_toxicity,
         "op9_gif_columns": gif_columns.op9_gif_columns,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op12_fim_automaton": fim_automaton.op12_fim_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_aliases": url_aliases.ORACLE, "op2_line_runs": line_runs.ORACLE, "op6_collision_embeddings": collision_embeddings.ORACLE}
+    return {
+        "op1_url_aliases": url_aliases.ORACLE,
+        "op2_line_runs": line_runs.ORACLE,
+        "op6_collision_embeddings": collision_embeddings.ORACLE,
+        "op12_fim_automaton": fim_automaton.ORACLE,
+    }
