@@ -11,6 +11,7 @@ from . import (
     gif_columns,
     kn_language,
     line_runs,
+    linear_grouping,
     pivot_simhash,
     pu_toxicity,
     token_counts,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op8_pu_toxicity": pu_toxicity.op8_pu_toxicity,
         "op9_gif_columns": gif_columns.op9_gif_columns,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_linear_grouping": linear_grouping.op11_linear_grouping,
         "op12_fim_automaton": fim_automaton.op12_fim_automaton,
     }
 
