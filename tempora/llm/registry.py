@@ -12,6 +12,7 @@ from . import (
     kn_language,
     line_runs,
     linear_grouping,
+    phrase_automata,
     pivot_simhash,
     pu_toxicity,
     token_counts,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_linear_grouping": linear_grouping.op11_linear_grouping,
         "op12_fim_automaton": fim_automaton.op12_fim_automaton,
+        "op13_phrase_automata": phrase_automata.op13_phrase_automata,
     }
 
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_runs": line_runs.ORACLE,
         "op6_collision_embeddings": collision_embeddings.ORACLE,
         "op12_fim_automaton": fim_automaton.ORACLE,
+        "op13_phrase_automata": phrase_automata.ORACLE,
     }
