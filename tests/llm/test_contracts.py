@@ -212,3 +212,39 @@ def test_toxicity_on_held_out_rows(spark):
     got = registry.queries()["op8_pu_toxicity"](spark, sf).where("held_out").join(y, "doc_id").collect()
     caught, flagged, toxic = (sum(f(r) for r in got) for f in (lambda r: r["predicted"] * r["toxic"], lambda r: r["predicted"], lambda r: r["toxic"]))
     assert caught >= 0.9 * toxic and caught >= 0.9 * flagged
+
+
+def test_best_fit_packing(spark, folder):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = registry.queries()["op11_linear_grouping"](spark, folder).collect()
+    want, total = [], 0
+    for d, t in documents(spark, folder):
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        head, total = len(ids) % 2048 or min(len(ids), 2048), total + len(ids)
+        at = [0, *range(head, len(ids) + 1, 2048)]
+        want += [(d, i, a, z - a, zlib.crc32(ids[a:z].tobytes())) for i, (a, z) in enumerate(zip(at, at[1:], strict=False))]
+    assert multiset((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == multiset(want)
+    room = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == room.get(r["sequence_id"], 0)
+        room[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(room.values()) <= 2048 and len(room) <= -(-total // 2048) + 1
+
+
+def test_fill_in_middle(spark, folder):
+    from test_packing_fim_phrases import plain_fim
+
+    got = registry.queries()["op12_fim_automaton"](spark, folder).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(d, *(x := plain_fim(d, t))[:4], sha(x[4]), sha(t or "")) for d, t in documents(spark, folder)]
+    assert multiset(tuple(r[c] for c in ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")) for r in got) == multiset(want)
+
+
+def test_collocations(spark, folder):
+    from test_packing_fim_phrases import plain_collocations
+
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("lang", "text").collect()]
+    got = registry.queries()["op13_phrase_automata"](spark, folder).collect()
+    assert multiset(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got) == multiset(plain_collocations(rows, 100, 2000)) and got
