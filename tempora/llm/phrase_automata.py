@@ -6,17 +6,18 @@ have one count, its suffix link leads to the next shorter phrase with more ends,
 The link tree of a suffix automaton is the suffix tree of the reversed text, and that is how it is built here: by
 sorting, level by level, the contexts that end at each position. Transitions are not kept, as nothing walks them.
 
-A phrase of 100 occurrences has only words and pairs of 100, so two cheap rounds count hashes of words, then of
-pairs of such words, and leave bitmaps of fixed size. A bit may stand for a rare phrase too, which costs a row
-and no result: the last round emits the phrases themselves, depth by depth, and their exact sums decide. Scores
-are joins of candidates with their parts. Subsumption follows suffix links: a candidate points to itself without
-its first word (its link, unless that has more ends) and, in the mirrored automaton, without its last; what is
-pointed to with enough occurrences goes. One step suffices, as counts only fall from a phrase to a longer one.
-
-Scale: texts are cut once and written as shards with dictionaries. Each round shuffles distinct phrases of a
-shard, as hashes or, in the last, those the bitmaps let by; no phrase is hot, as a shard sends it once. Bitmaps
-are 2^``FILTER_BITS`` bits: when a corpus fills them they prune less, and results stay. The top of a
-language is taken in salted parts first.
+A phrase of 100 occurrences has only parts of 100, so rounds over words, pairs and triples of words come first:
+each counts hashes, pruned by the round before, and leaves a bitmap of fixed size. A bit may stand for a rare
+phrase too, which costs a row and no result: the last round emits the phrases themselves, and their exact sums
+decide. Scores are joins of candidates with their parts. Subsumption follows suffix links: a candidate points to
+itself without its first word (its link, unless that has more ends) and, in the mirrored automaton, without its
+last; what is pointed to with enough occurrences goes. One step suffices, as counts only fall from a phrase to a
+longer one.
+
+Scale: texts are cut once and written as shards with dictionaries, and once more without rare words. A round
+shuffles the hashes of a shard's distinct phrases, packed by range of hash: about four bytes for each, and no phrase is
+hot, as a shard sends it once. A task adds up one range at a time. Bitmaps are 2^``FILTER_BITS`` bits: when a
+corpus fills them they prune less, and results stay. The top of a language is taken in salted parts first.
 
 Defined cases: null text is empty; null lang is ``und``; a piece shorter than a phrase has none of it; repeated
 rows count again; ties go by count, then by the phrase's bytes; null ids do not matter, and neither do other
@@ -38,6 +39,10 @@ ROW_WORDS, HELD_WORDS, SHARD_WORDS = 1 << 18, 1 << 20, 1 << 20
 #: Bytes of a long text that are cut into words at a time.
 CUT_BYTES = 1 << 20
 FILTER_BITS = 26
+#: Ranges of hashes for each shuffle partition; a task holds the counts of one at a time.
+RANGES = 8
+#: Longest phrases that are counted by hash before phrases are emitted.
+HASHED_WORDS = 3
 #: Parts of a language whose best phrases are taken first.
 SALTS = 64
 UNKNOWN = "und"
@@ -137,11 +142,11 @@ def shards(df: DataFrame, *, lang_col: str, text_col: str, row_words: int = ROW_
 class SuffixAutomaton:
     """States of the generalised suffix automaton of ``ids`` (0 parts texts), for phrases of up to ``depth`` words.
 
-    ``counted`` marks the ends that count; ``keep(left, right)`` says which pairs of neighbours a phrase may hold.
+    ``counted`` marks the ends that count; ``allowed(d)`` marks the ends where a phrase of d words may be a node.
     Nodes of level d are the phrases of d words; a node's link is its phrase without the first word.
     """
 
-    def __init__(self, ids: np.ndarray, depth: int, counted: np.ndarray | None = None, keep=None):
+    def __init__(self, ids: np.ndarray, depth: int, counted: np.ndarray | None = None, allowed=None):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # one end of each node, its ends, its link
         at = np.flatnonzero(ids > 0)
         node = np.zeros(len(ids), np.int64)
@@ -149,8 +154,8 @@ class SuffixAutomaton:
             if d > 1:
                 at = at[at >= d - 1]
                 at = at[ids[at - d + 1] > 0]
-                if keep is not None and len(at):
-                    at = at[keep(at - d + 1)]
+            if allowed is not None and len(at):
+                at = at[allowed(d)[at]]
             if not len(at):
                 break
             _, first, inverse = np.unique(node[at] << 32 | ids[at - d + 1], return_index=True, return_inverse=True)
@@ -209,8 +214,27 @@ def has_bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _loaded(batches, frequent: np.ndarray | None, shard_words: int):
-    """(lang, words, hashes, ids, counted) of each shard: rows of a language put together; words that are not frequent part texts."""
+def without_rare(rows: DataFrame, frequent) -> DataFrame:
+    """Shards with a break in place of each word that is not frequent."""
+
+    def run(batches):
+        z, back = _pack(level=3), zstandard.ZstdDecompressor()
+        for b in batches:
+            for lang, lead, words, codes in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                words, codes = back.decompress(words).split(b" "), np.frombuffer(back.decompress(codes), np.uint32)
+                ok = has_bit(frequent.value, word_hashes(words, lang)) if words != [b""] else np.zeros(1, bool)
+                new = np.concatenate([[0], np.where(ok, np.cumsum(ok), 0)]).astype(np.uint32)[codes]
+                kept = (new > 0) | np.concatenate([[True], new[:-1] > 0])  # of breaks in a row one is enough
+                kept[: min(1, len(new))] = True
+                cols = [pa.array([lang]), pa.array([int(kept[:lead].sum())], pa.int32()), pa.array([z.compress(b" ".join(w for w, k in zip(words, ok, strict=True) if k))], pa.binary()), pa.array([z.compress(new[kept].tobytes())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "lead", "words", "codes"])
+        trim()
+
+    return rows.select("lang", "lead", "words", "codes").mapInArrow(run, schema("lang string, lead int, words binary, codes binary"))
+
+
+def _loaded(batches, shard_words: int):
+    """(lang, words, hashes, ids, counted) of each shard: rows of a language put together."""
     held: dict[str, list] = {}
 
     def take(lang):
@@ -223,16 +247,10 @@ def _loaded(batches, frequent: np.ndarray | None, shard_words: int):
             words, codes = z.decompress(words).split(b" "), np.frombuffer(z.decompress(codes), np.uint32)
             if words == [b""]:
                 continue
-            h = word_hashes(words, lang)
-            ok = np.ones(len(words), bool) if frequent is None else has_bit(frequent, h)
             place, hashes, ids, counted = held.setdefault(lang, [{b"": 0}, [], [], []])
-            to, new = np.zeros(len(words) + 1, np.int64), []
-            for i in np.flatnonzero(ok).tolist():
-                n = len(place)
-                to[i + 1] = place.setdefault(words[i], n)
-                if to[i + 1] == n:
-                    new.append(h[i])
-            hashes.append(np.array(new, np.uint64))
+            known = len(place)
+            to = np.array([0, *[place.setdefault(w, len(place)) for w in words]], np.int64)
+            hashes.append(word_hashes([w for w, i in zip(words, to[1:].tolist(), strict=True) if i >= known], lang))
             count = np.ones(len(codes) + 1, bool)
             count[: lead + 1] = False
             ids.append(np.concatenate([[0], to[codes]]))
@@ -245,40 +263,109 @@ def _loaded(batches, frequent: np.ndarray | None, shard_words: int):
         yield take(lang)
 
 
-def hashed(rows: DataFrame, depth: int, frequent=None, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(h, c): hash and count in its shard of each phrase of ``depth`` (1 or 2) words, all of them frequent."""
+class _Hashes:
+    """Hashes of the phrases that end at each place of a shard, by length, and whether earlier rounds found them frequent."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, bitmaps: list[np.ndarray]):
+        self.ids, self.bitmaps, self.by, self.ok = ids, bitmaps, [words[ids]], []
+
+    def of(self, d: int) -> np.ndarray:
+        while len(self.by) < d:
+            before = np.concatenate([np.zeros(1, np.uint64), self.by[-1][:-1]])
+            self.by.append(pair_hash(before, self.by[0]))
+        return self.by[d - 1]
+
+    def frequent(self, d: int) -> np.ndarray:
+        """Of phrases longer than any round has counted, whether their parts of the longest counted length are frequent."""
+        while len(self.ok) < d:
+            n = len(self.ok)  # words of the phrases judged last
+            here = self.ids > 0 if n >= len(self.bitmaps) else has_bit(self.bitmaps[n], self.of(n + 1))
+            if n:
+                here = here & self.ok[-1] & np.concatenate([[False], self.ok[-1][:-1]])
+            self.ok.append(here)
+        return self.ok[d - 1]
+
+
+def hashed(rows: DataFrame, depth: int, bitmaps: list, ranges: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(range, packed): hashes and counts in its shard of the phrases of ``depth`` words whose parts are frequent, a row for each range of hashes."""
 
     def run(batches):
-        for _, _, hashes, ids, counted in _loaded(batches, frequent.value if frequent else None, shard_words):
-            end, length, count = SuffixAutomaton(ids, depth, counted).phrases()
+        z = _pack(level=1)
+        for _, _, words, ids, counted in _loaded(batches, shard_words):
+            hashes = _Hashes(ids, words, [b.value for b in bitmaps])
+            end, length, count = SuffixAutomaton(ids, depth, counted, hashes.frequent).phrases()
             on = (length == depth) & (count > 0)
-            end, count = end[on], count[on]
-            h = hashes[ids[end]] if depth == 1 else pair_hash(hashes[ids[end - 1]], hashes[ids[end]])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "c"])
+            h, count = hashes.of(depth)[end[on]], count[on]
+            part, low = (h >> np.uint64(32)) % np.uint64(ranges), h.astype(np.uint32)
+            order = np.lexsort((low, part))
+            part, low, count = part[order].astype(np.int32), low[order], count[order].astype(np.uint32)
+            at = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+            made = [z.compress(b"".join((_planes(low[a:b]), _planes(count[a:b])))) for a, b in zip(at, [*at[1:], len(part)], strict=True)] if len(part) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(made, pa.binary())], names=["range", "packed"])
         trim()
 
-    return rows.select("lang", "lead", "words", "codes").mapInArrow(run, schema("h long, c long"))
+    return rows.select("lang", "lead", "words", "codes").mapInArrow(run, schema("range int, packed binary"))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, which compress better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def bitmap(counts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+#: Entries of a range that are held before equal hashes are added up.
+FOLD_ENTRIES = 1 << 21
+
+
+def bitmap(packed: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
     """2^``bits`` bits, one of them set for each hash that occurs ``least`` times. What the driver sees is of that size, whatever the corpus."""
-    hot = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    slots = hot.groupBy(F.shiftright(low, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("on")).toArrow()
+
+    def fold(low, count):
+        low, inverse = np.unique(np.concatenate(low), return_inverse=True)
+        return [low], [np.bincount(inverse, np.concatenate(count)).astype(np.int64)]
+
+    def hot(low, count):
+        (low,), (count,) = fold(low, count)
+        i = np.unique(low[count >= least].astype(np.int64) & (1 << bits) - 1)
+        slot, on = i >> 6, np.uint64(1) << (i & 63).astype(np.uint64)
+        at = np.flatnonzero(np.diff(slot, prepend=-1)) if len(slot) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(slot[at]), pa.array((np.bitwise_or.reduceat(on, at) if len(at) else on).view(np.int64))], names=["slot", "on"])
+
+    def run(batches):
+        z, now, low, count, n = zstandard.ZstdDecompressor(), None, [], [], 0
+        for b in batches:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if part != now and low:
+                    yield hot(low, count)
+                    low, count, n = [], [], 0
+                now, raw = part, z.decompress(raw.as_py())
+                low.append(_numbers(raw[: len(raw) // 2]))
+                count.append(_numbers(raw[len(raw) // 2 :]).astype(np.int64))
+                n += len(low[-1])
+                if n > FOLD_ENTRIES + 2 * len(low[0]):
+                    low, count = fold(low, count)
+                    n = len(low[0])
+        if low:
+            yield hot(low, count)
+        trim()
+
+    by = packed.repartition(F.col("range")).sortWithinPartitions("range").mapInArrow(run, schema("slot long, on long"))
+    slots = by.groupBy("slot").agg(F.bit_or("on").alias("on")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[slots["slot"].to_numpy()] = slots["on"].to_numpy().view(np.uint64)
     return out
 
 
-def phrase_counts(rows: DataFrame, words, pairs, max_words: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, size, c): each phrase of up to ``max_words`` frequent words in frequent pairs, and its count in a shard."""
+def phrase_counts(rows: DataFrame, bitmaps: list, max_words: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(lang, phrase, size, c): each phrase of up to ``max_words`` words that the bitmaps let by, and its count in a shard."""
 
     def run(batches):
-        for lang, names, hashes, ids, counted in _loaded(batches, words.value, shard_words):
-            def keep(at, ids=ids, hashes=hashes):
-                return has_bit(pairs.value, pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
-
-            end, length, count = SuffixAutomaton(ids, max_words, counted, keep).phrases()
+        for lang, names, words, ids, counted in _loaded(batches, shard_words):
+            hashes = _Hashes(ids, words, [b.value for b in bitmaps])
+            end, length, count = SuffixAutomaton(ids, max_words, counted, hashes.frequent).phrases()
             on = count > 0
             end, length, count = end[on], length[on], count[on]
             for lo in range(0, len(end), 1 << 14):
@@ -294,14 +381,18 @@ def frequent_phrases(df: DataFrame, *, lang_col: str = "lang", text_col: str = "
     """(lang, phrase, size, a) of all phrases of 1 to ``max_words`` words that occur ``least`` times; and (lang, n), all words."""
     context = df.sparkSession.sparkContext
     rows = materialise(shards(df, lang_col=lang_col, text_col=text_col, row_words=row_words, lead_words=max_words - 1), "phrase-shards")
-    words = context.broadcast(bitmap(hashed(rows, 1, None, shard_words), least, filter_bits))
-    pairs = context.broadcast(bitmap(hashed(rows, 2, words, shard_words), least, filter_bits))
-    counts = phrase_counts(rows, words, pairs, max_words, shard_words).groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("c").alias("a"))
-    found = materialise(counts.where(F.col("a") >= least), "phrases")
+    ranges = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bitmaps = [context.broadcast(bitmap(hashed(rows, 1, [], ranges, shard_words), least, filter_bits))]
     totals = materialise(rows.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    kept = materialise(without_rare(rows, bitmaps[0]), "phrase-shards")
     release(rows)
-    words.unpersist()
-    pairs.unpersist()
+    for d in range(2, min(HASHED_WORDS, max_words) + 1):
+        bitmaps.append(context.broadcast(bitmap(hashed(kept, d, bitmaps, ranges, shard_words), least, filter_bits)))
+    counts = phrase_counts(kept, bitmaps, max_words, shard_words).groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("c").alias("a"))
+    found = materialise(counts.where(F.col("a") >= least), "phrases")
+    release(kept)
+    for b in bitmaps:
+        b.unpersist()
     return found, totals
 
 
