@@ -15,8 +15,8 @@ last; what is pointed to with enough occurrences goes. One step suffices, as cou
 longer one.
 
 Scale: texts are cut once and written as shards with dictionaries, and once more without rare words. A round
-shuffles the hashes of a shard's distinct phrases, packed by range of hash: about four bytes for each, and no phrase is
-hot, as a shard sends it once. A task adds up one range at a time. Bitmaps are 2^``FILTER_BITS`` bits: when a
+shuffles a shard's distinct phrases (hashes of about four bytes; in the last round the phrases), packed by range of
+hash, and no phrase is hot, as a shard sends it once. A task adds up one range at a time, and ranges follow the input. Bitmaps are 2^``FILTER_BITS`` bits: when a
 corpus fills them they prune less, and results stay. The top of a language is taken in salted parts first.
 
 Defined cases: null text is empty; null lang is ``und``; a piece shorter than a phrase has none of it; repeated
@@ -39,8 +39,8 @@ ROW_WORDS, HELD_WORDS, SHARD_WORDS = 1 << 18, 1 << 20, 1 << 20
 #: Bytes of a long text that are cut into words at a time.
 CUT_BYTES = 1 << 20
 FILTER_BITS = 26
-#: Ranges of hashes for each shuffle partition; a task holds the counts of one at a time.
-RANGES = 8
+#: Running words for each range of hashes, of which there are some at least; a task holds the counts of one range at a time.
+RANGE_WORDS, LEAST_RANGES = 1 << 22, 8
 #: Longest phrases that are counted by hash before phrases are emitted.
 HASHED_WORDS = 3
 #: Parts of a language whose best phrases are taken first.
@@ -359,37 +359,69 @@ def bitmap(packed: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray
     return out
 
 
-def phrase_counts(rows: DataFrame, bitmaps: list, max_words: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, size, c): each phrase of up to ``max_words`` words that the bitmaps let by, and its count in a shard."""
+def phrase_counts(rows: DataFrame, bitmaps: list, max_words: int, ranges: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(lang, range, phrases, counts): the phrases of up to ``max_words`` words that the bitmaps let by, with their counts in a shard, a row for each range of hashes."""
 
     def run(batches):
+        z = _pack(level=3)
         for lang, names, words, ids, counted in _loaded(batches, shard_words):
             hashes = _Hashes(ids, words, [b.value for b in bitmaps])
             end, length, count = SuffixAutomaton(ids, max_words, counted, hashes.frequent).phrases()
             on = count > 0
             end, length, count = end[on], length[on], count[on]
-            for lo in range(0, len(end), 1 << 14):
-                some = slice(lo, lo + (1 << 14))
-                text = [b" ".join([names[i] for i in ids[e - n + 1 : e + 1]]) for e, n in zip(end[some].tolist(), length[some].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text)), pa.array(text, pa.binary()).cast(pa.string()), pa.array(length[some], pa.int32()), pa.array(count[some], pa.int64())], names=["lang", "phrase", "size", "c"])
+            h = np.zeros(len(end), np.uint64)
+            for d in range(1, max_words + 1):
+                h[length == d] = hashes.of(d)[end[length == d]]
+            part = ((h >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, end, length, count = part[order], end[order], length[order], count[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True) if len(part) else ():
+                text = b"\n".join([b" ".join([names[i] for i in ids[e - n + 1 : e + 1].tolist()]) for e, n in zip(end[a:b].tolist(), length[a:b].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int(part[a])], pa.int32()), pa.array([z.compress(text)], pa.binary()), pa.array([z.compress(_planes(count[a:b]))], pa.binary())], names=["lang", "range", "phrases", "counts"])
+        trim()
+
+    return rows.select("lang", "lead", "words", "codes").mapInArrow(run, schema("lang string, range int, phrases binary, counts binary"))
+
+
+def summed(packed: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, size, a) of the phrases that occur ``least`` times over all shards: their exact sums, a range at a time."""
+
+    def hot(lang, sums):
+        found = [(p, c) for p, c in sums.items() if c >= least]
+        text = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), text, pa.array([p.count(b" ") + 1 for p, _ in found], pa.int32()), pa.array([c for _, c in found], pa.int64())], names=["lang", "phrase", "size", "a"])
+
+    def run(batches):
+        z, now, sums = zstandard.ZstdDecompressor(), None, {}
+        for b in batches:
+            for lang, part, phrases, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (lang, part) != now:
+                    if now:
+                        yield hot(now[0], sums)
+                    now, sums = (lang, part), {}
+                for p, c in zip(z.decompress(phrases).split(b"\n"), _numbers(z.decompress(counts)).tolist(), strict=True):
+                    sums[p] = sums.get(p, 0) + c
+        if now:
+            yield hot(now[0], sums)
         trim()
 
-    return rows.select("lang", "lead", "words", "codes").mapInArrow(run, schema("lang string, phrase string, size int, c long"))
+    by = packed.repartition("lang", "range").sortWithinPartitions("lang", "range")
+    return by.mapInArrow(run, schema("lang string, phrase string, size int, a long"))
 
 
 def frequent_phrases(df: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = MIN_COUNT, max_words: int = MAX_WORDS, filter_bits: int = FILTER_BITS, row_words: int = ROW_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of all phrases of 1 to ``max_words`` words that occur ``least`` times; and (lang, n), all words."""
     context = df.sparkSession.sparkContext
     rows = materialise(shards(df, lang_col=lang_col, text_col=text_col, row_words=row_words, lead_words=max_words - 1), "phrase-shards")
-    ranges = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(LEAST_RANGES, -(-(rows.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
     bitmaps = [context.broadcast(bitmap(hashed(rows, 1, [], ranges, shard_words), least, filter_bits))]
     totals = materialise(rows.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     kept = materialise(without_rare(rows, bitmaps[0]), "phrase-shards")
     release(rows)
     for d in range(2, min(HASHED_WORDS, max_words) + 1):
         bitmaps.append(context.broadcast(bitmap(hashed(kept, d, bitmaps, ranges, shard_words), least, filter_bits)))
-    counts = phrase_counts(kept, bitmaps, max_words, shard_words).groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("c").alias("a"))
-    found = materialise(counts.where(F.col("a") >= least), "phrases")
+    found = materialise(summed(phrase_counts(kept, bitmaps, max_words, ranges, shard_words), least), "phrases")
     release(kept)
     for b in bitmaps:
         b.unpersist()
