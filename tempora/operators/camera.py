@@ -303,9 +303,10 @@ def interpolate(states: DataFrame, times: DataFrame, values: list[str]) -> DataF
 
     point = F.struct("t", *values)
     both = states.select("episode_id", "t", point.alias("at")).unionByName(times.select("episode_id", "t", F.lit(None).cast(states.select(point.alias("p")).schema["p"].dataType).alias("at")))
-    w = Window.partitionBy("episode_id").orderBy("t")
-    x = both.withColumn("a", F.last("at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("b", F.first("at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("at is null")
+    # both neighbours look back, one of them in reversed order: a frame that looks ahead is worked out anew for each row
+    w = Window.partitionBy("episode_id")
+    x = both.withColumn("a", F.last("at", ignorenulls=True).over(w.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("b", F.last("at", ignorenulls=True).over(w.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))).where("at is null")
     share = F.when(F.col("b.t") > F.col("a.t"), (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))).otherwise(0.0)
     mix = lambda v: F.coalesce(F.col(f"a.{v}") * (1 - share) + F.col(f"b.{v}") * share, f"a.{v}", f"b.{v}")
     return x.select("episode_id", "t", *[mix(v).alias(v) for v in values])

@@ -13,7 +13,10 @@ from tempora.operators.scoring import hook_at, window_at, with_hooks, with_total
 from tempora.plans.config import Scoring, Validation
 
 # Texts of an evaluation.
+LLM, CANDIDATE = "llm", "heuristic_candidate"
 EMPTY, WEAK_HOOK, FILLED = "пустой фрагмент: ни речи, ни звуковых акцентов", "слабый hook на входе", "добавлен из эвристических кандидатов"
+#: Kinds of rows that meet in the fold over attempts and are not shown.
+READABLE, STAND_IN = "readable", "stand_in"
 
 
 # ---------------------------------------------------------------- model answers
@@ -118,18 +121,73 @@ def select_moments(answers: DataFrame, *, episodes: DataFrame, timeline: DataFra
     good = evaluate(repaired(every, points, episodes, min_s, max_s, cfg), timeline, hooks, scoring, cfg).where("fatal is null")
     note = F.array_compact(F.concat("notes", F.array("warning")))
     good = good.withColumn("notes", F.when(F.col("source") == "llm", note).otherwise(F.array(F.lit(FILLED))))
-    w = Window.partitionBy("episode_id", "source").orderBy(F.when(F.col("source") == "llm", -F.col("score")), "no")
-    item = F.struct(F.row_number().over(w).alias("n"), "source", "key", "title", "segs", "asked", "score", "signals", "speech_density", "face_coverage", "notes")
-    by = good.withColumn("item", item).groupBy("episode_id").agg(
-        F.array_sort(F.collect_list(F.when((F.col("source") == "llm") & (F.col("item.n") <= max(1, max_count)), F.col("item")))).alias("chosen"), F.array_sort(F.collect_list(F.when(F.col("source") != "llm", F.col("item")))).alias("spare"),
-    )
+    by = _by_source(good, max_count)
+    return _numbered(by.select("episode_id", _filled(F.col("chosen"), F.col("spare"), min_count).alias("all")))
+
+
+ITEM = ("source", "key", "title", "segs", "asked", "score", "signals", "speech_density", "face_coverage", "notes")
+
+
+def _by_source(good: DataFrame, max_count: int, *also: Column) -> DataFrame:
+    """(episode_id, chosen, spare, stand_in, also): an episode's best answers, its candidates and its stand-ins, each in order."""
+    w = Window.partitionBy("episode_id", "source").orderBy(F.when(F.col("source") == LLM, -F.col("score")), "no")
+    shown = F.when(F.col("source") == STAND_IN, CANDIDATE).otherwise(F.col("source")).alias("source")
+    item = F.struct(F.row_number().over(w).alias("n"), *[shown if c == "source" else c for c in ITEM])
+    part = lambda s, keep=True: F.array_sort(F.collect_list(F.when((F.col("source") == s) & keep, F.col("item"))))
+    few = F.col("item.n") <= max(1, max_count)
+    return good.withColumn("item", item).groupBy("episode_id").agg(part(LLM, few).alias("chosen"), part(CANDIDATE).alias("spare"), part(STAND_IN).alias("stand_in"), *also)
+
+
+def _filled(chosen: Column, spare: Column, min_count: int) -> Column:
+    """``chosen`` with candidates added in order up to ``min_count``, but for those of which something chosen covers over half."""
 
     def fill(acc, c):
         taken = F.exists(acc, lambda m: overlap_ratio(c["asked"], m["segs"]) > 0.5)
         return F.when((F.size(acc) < min_count) & ~taken, F.concat(acc, F.array(c))).otherwise(acc)
 
-    out = by.select("episode_id", F.posexplode(F.aggregate("spare", F.col("chosen"), fill)).alias("at", "m"))
-    return out.select("episode_id", (F.col("at") + 1).alias("moment_no"), "m.title", "m.segs", F.round(total_length(F.col("m.segs")), 3).alias("duration_s"), "m.score", "m.signals", "m.speech_density", "m.face_coverage", "m.source", "m.notes")
+    return F.aggregate(spare, chosen, fill)
+
+
+def _numbered(x: DataFrame, *keep: str) -> DataFrame:
+    out = x.select("episode_id", *keep, F.posexplode("all").alias("at", "m"))
+    return out.select("episode_id", *keep, (F.col("at") + 1).alias("moment_no"), "m.title", "m.segs", F.round(total_length(F.col("m.segs")), 3).alias("duration_s"), "m.score", "m.signals", "m.speech_density", "m.face_coverage", "m.source", "m.notes")
+
+
+def first_usable(answers: DataFrame, *, episodes: DataFrame, timeline: DataFrame, hooks: DataFrame | None, candidates: DataFrame, segments: DataFrame, cuts: DataFrame, min_s: float, max_s: float, min_count: int, max_count: int, scoring: Scoring, cfg: Validation = Validation(), fallback_title: str = "", attempts: int = 3, enough: int = 1) -> DataFrame:
+    """Moments from several answers an episode: (episode_id, attempt, raw_json), attempts numbered from 1, some of them missing.
+
+    The first attempt before the last that gives ``enough`` good moments is taken as it is. If none does, the last one is,
+    filled up from candidates as ``select_moments`` does; if that isn't JSON either, or gives nothing, or there is no answer,
+    the first candidates stand in, unrepaired. Rows are as ``select_moments`` gives them, with ``attempt`` (null for stand-ins).
+
+    Answers of all attempts are decoded, repaired and evaluated as rows; the choice is an ordered fold over an episode's
+    counts by attempt, in the same group that collects its moments. Of equal attempt numbers all moments count.
+    """
+    asked = answers.where(F.col("attempt").between(1, attempts))
+    own = decode_answers(asked, keep=("episode_id", "attempt")).select("episode_id", "attempt", "no", "key", "title", "segs", F.lit("llm").alias("source"), F.col("segs").alias("asked"))
+    rank = F.col("rank")
+    one = F.array(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end")))
+    title = title_of(F.col("stats.head.hook_text"), fallback_title)
+    spare = candidates.select("episode_id", F.lit(attempts).alias("attempt"), rank.alias("no"), F.concat(F.lit("candidate_"), "rank").alias("key"), title.alias("title"), one.alias("segs"), F.lit(CANDIDATE).alias("source"), one.alias("asked"))
+    every = own.unionByName(spare) if cfg.fill_from_candidates else own
+    good = evaluate(repaired(every, snap_points(segments, cuts, cfg), episodes, min_s, max_s, cfg), timeline, hooks, scoring, cfg).where("fatal is null")
+    good = good.withColumn("notes", F.when(F.col("source") == "llm", F.array_compact(F.concat("notes", F.array("warning")))).otherwise(F.array(F.lit(FILLED))))
+
+    # besides: a row for an answer to the last attempt that is JSON, and the first candidates as they are
+    readable = asked.where((F.col("attempt") == attempts) & F.try_parse_json(unfenced(F.col("raw_json"))).isNotNull()).select("episode_id", F.lit(READABLE).alias("source"))
+    raw = candidates.where(rank <= max(1, min_count)).select("episode_id", rank.alias("no"), title.alias("title"), one.alias("segs"), "score", "signals", F.lit(STAND_IN).alias("source"))
+    rows = good.unionByName(readable, allowMissingColumns=True).unionByName(raw, allowMissingColumns=True)
+
+    whole, source = Window.partitionBy("episode_id"), F.col("source")
+    rows = rows.withColumn("__n", F.count(F.when(source == LLM, 1)).over(Window.partitionBy("episode_id", "attempt")))
+    early = F.min(F.when((source == LLM) & (F.col("attempt") < attempts) & (F.col("__n") >= enough), F.col("attempt"))).over(whole)
+    late = F.max(F.when(source == READABLE, F.lit(attempts))).over(whole)
+    rows = rows.withColumn("__stop", F.coalesce(early, late)).withColumn("__late", early.isNull())
+    used = (source == STAND_IN) | ((F.col("attempt") == F.col("__stop")) & ((source == LLM) | ((source == CANDIDATE) & F.col("__late"))))
+    by = _by_source(rows.where(used), max_count, F.max("__stop").alias("stop"))
+    x = by.select("episode_id", "stop", "stand_in", _filled(F.col("chosen"), F.col("spare"), min_count).alias("got"))
+    x = x.select("episode_id", F.when(F.size("got") > 0, F.col("stop")).alias("attempt"), F.when(F.size("got") > 0, F.col("got")).otherwise(F.col("stand_in")).alias("all"))
+    return _numbered(x, "attempt")
 
 
 def heuristic_moments(candidates: DataFrame, count: int, fallback_title: str = "") -> DataFrame:

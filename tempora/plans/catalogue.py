@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import queries_events, queries_moments, queries_text
+from tempora.plans import queries_events, queries_media, queries_moments, queries_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (queries_moments, queries_events, queries_text)
+_PARTS = (queries_moments, queries_events, queries_text, queries_media)
 
 
 def queries() -> dict[str, Query]:

@@ -144,6 +144,13 @@ def fuzzy_title_match(spark, d):
     return matching.best_title(x)
 
 
+def similar_part_names(spark, d):
+    p = read(spark, d, "part")
+    named = p.select(F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    x = matching.similar_texts(p.select(F.col("p_name").alias("text")), named, least=0.7)
+    return x.select("a", "b", F.round("ratio", 9).alias("ratio"))
+
+
 def player_order(spark, d):
     p = read(spark, d, "part")
     x = p.select((F.col("p_partkey") % 50).alias("episode"), F.col("p_partkey").alias("no"), F.when(F.col("p_size") % 3 == 0, "Studio").when(F.col("p_size") % 3 == 1, "stud").otherwise("xyz").alias("label"), F.element_at(F.array(*map(F.lit, (*matching.PLAYERS, "other"))), (F.col("p_partkey") % 9 + 1).cast("int")).alias("player"))
@@ -162,18 +169,11 @@ def visible_region(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     snap_nearest, interval_subtract, moment_weighted_eval, repair_segments, model_json_decode, select_moments, heuristic_moments, transcript_projection, transcript_render, text_caps_strip, title_from_text, word_chunks, title_wrap,
-    episode_range_parse, clean_names, message_html, batch_of_ten, new_files_anti, stream_pick, fuzzy_title_match, player_order, safe_file_names, visible_region,
+    episode_range_parse, clean_names, message_html, batch_of_ten, new_files_anti, stream_pick, fuzzy_title_match, similar_part_names, player_order, safe_file_names, visible_region,
 )}
 
 ASKED = "ask AS (SELECT episode_id, split_part(text, ' ', 2)::BIGINT AS key, k AS i, s + k * (split_part(text, ' ', 2)::BIGINT % 13) AS a, s + k * (split_part(text, ' ', 2)::BIGINT % 13) + 6 + split_part(text, ' ', 2)::BIGINT % 9 AS b FROM hk, (SELECT unnest(range(0, 3)) AS k))"
-_PUNCT = r"[.,!?:;\-—–()\[\]\"''«»…]+"
-ORACLES = {
-    "snap_nearest": f"""WITH {SQL}, p AS (SELECT DISTINCT episode_id, round(p, 3) AS p FROM (SELECT episode_id, unnest([s, e]) AS p FROM seg UNION ALL SELECT episode_id, t FROM cut) WHERE p >= 0), n AS (SELECT episode_id, count(*) AS n_points FROM p GROUP BY 1),
-q AS (SELECT episode_id, unnest(range(0, 721, 24))::INT AS at_h FROM eps), b AS (SELECT q.episode_id, at_h, arg_min(p, (abs(p - at_h), p)) AS p FROM q JOIN p ON q.episode_id = p.episode_id AND abs(p - at_h) < 2 AND p <= 720 GROUP BY ALL)
-SELECT q.episode_id, at_h AS "at", round(coalesce(p, at_h::DOUBLE), 6) AS snapped, n_points::INT AS n_points FROM q JOIN n USING (episode_id) LEFT JOIN b USING (episode_id, at_h)""",
-    "interval_subtract": f"""WITH {SQL}, x AS (SELECT episode_id, s, least(e, 720.0) AS e FROM fac WHERE s < 720 AND e > 0), m AS (SELECT *, max(e) OVER (PARTITION BY episode_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM x),
-g AS (SELECT episode_id, coalesce(reached, 0.0) AS a, s AS b FROM m UNION ALL SELECT episode_id, max(e), 720.0 FROM x GROUP BY 1) SELECT episode_id, round(a, 6) AS start_s, round(b, 6) AS end_s FROM g WHERE b > a""",
-    "moment_weighted_eval": f"""WITH {SQL}, {ASKED}, win AS (SELECT DISTINCT episode_id, a AS start_s, b AS end_s, b - a AS len, greatest(0, floor(a))::INT AS lo, CASE WHEN least(720, ceil(b)) <= greatest(0, floor(a)) THEN least(720, greatest(0, floor(a)) + 1) ELSE least(720, ceil(b)) END::INT AS hi FROM ask),
+EVALUATED = """win AS (SELECT DISTINCT episode_id, a AS start_s, b AS end_s, b - a AS len, greatest(0, floor(a))::INT AS lo, CASE WHEN least(720, ceil(b)) <= greatest(0, floor(a)) THEN least(720, greatest(0, floor(a)) + 1) ELSE least(720, ceil(b)) END::INT AS hi FROM ask),
 runs AS (SELECT *, cell - row_number() OVER (PARTITION BY episode_id ORDER BY cell) AS island FROM cells WHERE speech < 0.2),
 gap AS (SELECT episode_id, start_s, end_s, max(n) AS longest FROM (SELECT w.episode_id, start_s, end_s, island, count(*) AS n FROM win w JOIN runs r ON w.episode_id = r.episode_id AND r.cell >= lo AND r.cell < hi GROUP BY ALL) GROUP BY ALL),
 agg AS (SELECT w.episode_id, w.start_s, w.end_s, w.len, coalesce(avg(speech), 0) AS density, coalesce(sum(words), 0) / greatest(1e-6, w.len) AS wps, coalesce(quantile_cont(audio_energy, 0.9), 0) AS e90, coalesce(avg(audio_energy), 0) AS em, coalesce(max(audio_sharpness), 0) AS sharp,
@@ -183,7 +183,36 @@ sig AS (SELECT a.*, 0.6 * greatest(0, least(1, 1 - greatest(0.1 - density, densi
   greatest(0, least(1, 0.6 * greatest(0, least(1, 1 - greatest(0.5 - cpm, cpm - 3.0, 0) / 3.75)) + 0.4 * greatest(0, least(1, motion / motion_ref)))) AS scene,
   greatest(0, least(1, 0.45 * (1 - least(1, coalesce(longest, 0) / 12.0)) + 0.35 * (1 - greatest(0, least(1, 1 - density))) + 0.20 * greatest(0, least(1, cpm / 30)))) AS pacing
   FROM agg a JOIN refs USING (episode_id) LEFT JOIN gap USING (episode_id, start_s, end_s)),
-j AS (SELECT k.episode_id, key, (b - a) / sum(b - a) OVER (PARTITION BY k.episode_id, key) AS share, s.* EXCLUDE (episode_id) FROM ask k JOIN sig s ON k.episode_id = s.episode_id AND k.a = s.start_s AND k.b = s.end_s)
+j AS (SELECT k.episode_id, key, (b - a) / sum(b - a) OVER (PARTITION BY k.episode_id, key) AS share, s.* EXCLUDE (episode_id) FROM ask k JOIN sig s ON k.episode_id = s.episode_id AND k.a = s.start_s AND k.b = s.end_s)"""
+_PUNCT = r"[.,!?:;\-—–()\[\]\"''«»…]+"
+#: Similarity of ``pairs`` (a, b) as ``ratios`` (a, b, ratio), by taking out the longest common block, the first of equals, again and again.
+RATIOS = """
+blocks AS (
+  SELECT a, b, a AS x, b AS y, 0 AS got FROM pairs
+  UNION ALL
+  SELECT a, b, CASE WHEN side = 0 THEN substr(x, 1, m.i - 1) ELSE substr(x, m.i + m.k, 1000) END,
+    CASE WHEN side = 0 THEN substr(y, 1, m.j - 1) ELSE substr(y, m.j + m.k, 1000) END, CASE WHEN side = 0 THEN m.k ELSE 0 END
+  FROM (
+    SELECT a, b, x, y, list_max(list_transform(range(1, length(x) + 1), lambda i: list_max(list_transform(range(1, length(y) + 1), lambda j:
+      struct_pack(k := coalesce(list_max(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda k: substr(x, i, k) = substr(y, j, k))), 0), ni := -i, nj := -j))))) AS z
+    FROM blocks WHERE x <> '' AND y <> ''),
+    LATERAL (SELECT z.k AS k, -z.ni AS i, -z.nj AS j) m, (SELECT unnest([0, 1]) AS side) WHERE m.k > 0),
+ratios AS (SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b)"""
+ORACLES = {
+    "fuzzy_title_match": f"""
+WITH RECURSIVE r AS (SELECT 'query ' || p_partkey % 20 AS query, p_partkey AS no, p_name AS title, p_type AS original_title FROM part),
+pairs AS (SELECT DISTINCT lower(title) AS a, query AS b FROM r UNION SELECT DISTINCT lower(original_title), query FROM r), {RATIOS},
+s AS (SELECT query, no, title, greatest(x.ratio, y.ratio) AS score FROM r JOIN ratios x ON x.a = lower(title) AND x.b = query JOIN ratios y ON y.a = lower(original_title) AND y.b = query)
+SELECT query, no, title, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, no) AS n FROM s) WHERE n = 1""",
+    "similar_part_names": f"""
+WITH RECURSIVE pairs AS (SELECT DISTINCT lower(p.p_name) AS a, lower(q.p_name || ' ' || q.p_brand) AS b FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT p_name, p_brand FROM part) q), {RATIOS}
+SELECT a, b, round(ratio, 9) AS ratio FROM ratios WHERE ratio >= 0.7""",
+    "snap_nearest": f"""WITH {SQL}, p AS (SELECT DISTINCT episode_id, round(p, 3) AS p FROM (SELECT episode_id, unnest([s, e]) AS p FROM seg UNION ALL SELECT episode_id, t FROM cut) WHERE p >= 0), n AS (SELECT episode_id, count(*) AS n_points FROM p GROUP BY 1),
+q AS (SELECT episode_id, unnest(range(0, 721, 24))::INT AS at_h FROM eps), b AS (SELECT q.episode_id, at_h, arg_min(p, (abs(p - at_h), p)) AS p FROM q JOIN p ON q.episode_id = p.episode_id AND abs(p - at_h) < 2 AND p <= 720 GROUP BY ALL)
+SELECT q.episode_id, at_h AS "at", round(coalesce(p, at_h::DOUBLE), 6) AS snapped, n_points::INT AS n_points FROM q JOIN n USING (episode_id) LEFT JOIN b USING (episode_id, at_h)""",
+    "interval_subtract": f"""WITH {SQL}, x AS (SELECT episode_id, s, least(e, 720.0) AS e FROM fac WHERE s < 720 AND e > 0), m AS (SELECT *, max(e) OVER (PARTITION BY episode_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM x),
+g AS (SELECT episode_id, coalesce(reached, 0.0) AS a, s AS b FROM m UNION ALL SELECT episode_id, max(e), 720.0 FROM x GROUP BY 1) SELECT episode_id, round(a, 6) AS start_s, round(b, 6) AS end_s FROM g WHERE b > a""",
+    "moment_weighted_eval": f"""WITH {SQL}, {ASKED}, {EVALUATED}
 SELECT episode_id, key, round(sum(round(density, 3) * share), 3) AS speech_density, round(sum(transcript * share), 9) AS transcript, round(sum(audio * share), 9) AS audio, round(sum(face_sig * share), 9) AS face, round(sum(scene * share), 9) AS scene, round(sum(pacing * share), 9) AS pacing FROM j GROUP BY 1, 2""",
     "model_json_decode": f"WITH {SQL}, {ASKED} SELECT episode_id, 'clip ' || key AS title, (2 - i)::INT AS i, round(a, 6) AS start_s, round(b, 6) AS end_s FROM ask",
     "heuristic_moments": f"""WITH {SQL}, {WINDOWS}, {CHOSEN} SELECT c.episode_id, rank::INT AS moment_no, CASE WHEN trim(htext) = '' THEN 'clip' ELSE upper(htext) END AS title, p.n AS duration_s, s.score, 'heuristic_candidate' AS source FROM cand c JOIN scored s ON c.episode_id = s.episode_id AND c.p.s = s.start_s AND c.p.n = s.len WHERE rank <= 3""",

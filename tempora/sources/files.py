@@ -19,28 +19,6 @@ def find_videos(spark: SparkSession, folder: str, *, content: bool = False) -> D
     return (x if content else x.drop("content")).orderBy("path")
 
 
-def read_pcm(spark: SparkSession, folder: str, *, sample_rate: int = 16000, window_ms: float = 40.0) -> DataFrame:
-    """(path, frame, samples): mono windows of 16-bit PCM WAV files, scaled to [-1, 1]; channels are averaged, a rest is dropped."""
-    import io
-    import wave
-
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                with wave.open(io.BytesIO(raw)) as w:
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768.0
-                size = max(1, int(sample_rate * window_ms / 1000.0))
-                rows += [(path, i, x[i * size : (i + 1) * size]) for i in range(len(x) // size)]
-            yield pd.DataFrame(rows, columns=["path", "frame", "samples"])
-
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
-    return x.mapInPandas(run, "path string, frame int, samples array<double>")
-
-
 def new_files(after: DataFrame, before: DataFrame, key: str = "path") -> DataFrame:
     """Files of ``after`` that ``before`` does not have."""
     return after.join(before.select(key).distinct(), key, "left_anti")
