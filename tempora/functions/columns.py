@@ -10,7 +10,7 @@ def lit(v) -> Column:
 
 def clip01(x: Column) -> Column:
     """Into [0, 1]; NaN is 0."""
-    return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(x, F.lit(0.0))))
 
 
 def sweet_spot(x: Column, low: float, high: float, falloff: float = 1.0) -> Column:

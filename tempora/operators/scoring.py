@@ -1,9 +1,9 @@
 """Sliding windows over timelines: statistics, six signals, a composite score, ranked candidates.
 
-A timeline row holds its episode's arrays, and windows are made and scored inside that row by
-higher-order functions; only finished windows leave it. Means and sums are differences of running totals,
-which window functions make once per episode; runs of silence come from each cell's distance to the loud cells
-around it. Only percentiles and peaks look at a window's cells. There is no range join, and after the timeline no shuffle.
+A timeline row holds its episode's arrays. Its windows are made as an array and become rows that are scored by plain
+columns, in generated code. What windows are scored by comes from structures of the whole episode, for all of its windows
+at once: running totals for means and sums, a wavelet matrix for percentiles, sparse tables for peaks and silences. No
+window's cells are looked at. There is no range join, and after the timeline no shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tempora.functions import ranks
 from tempora.functions.columns import array_peak, array_percentile, clip01, let, overlap, sweet_spot
 from tempora.plans.config import Scoring, window_lengths
 
@@ -64,11 +65,13 @@ def _mean(signal: str, lo: Column, hi: Column) -> Column:
 def _longest_hush(lo: Column, hi: Column) -> Column:
     """Cells of the longest silence within [lo, hi): the one it begins in, cut at its start, or one that begins inside."""
 
-    def of_first(first):
-        rest = F.array_max(F.slice("hush", lo + first + 1, F.greatest(hi - lo - first, F.lit(0))))
-        return F.greatest(first, F.coalesce(rest, F.lit(0)))
+    return let(F.greatest(F.lit(0), F.least(F.coalesce(F.get("loud", lo), F.col("cells")), hi) - lo), lambda first: _hush_after(first, lo, hi))
 
-    return let(F.greatest(F.lit(0), F.least(F.coalesce(F.get("loud", lo), F.col("cells")), hi) - lo), of_first)
+
+def _hush_after(first: Column, lo: Column, hi: Column) -> Column:
+    """The longer of ``first`` cells of silence at the start of [lo, hi) and the longest silence that begins after them."""
+    rest = F.array_max(F.slice("hush", lo + first + 1, F.greatest(hi - lo - first, F.lit(0))))
+    return F.greatest(first, F.coalesce(rest, F.lit(0)))
 
 
 def hook_at(start: Column, cfg: Scoring) -> Column:
@@ -77,25 +80,31 @@ def hook_at(start: Column, cfg: Scoring) -> Column:
 
     def of_head(h):
         lo, hi = _bounds(h["start"], h["end"], cfg.cell_s)
-        near = F.filter(F.coalesce("hooks", F.array().cast("array<struct<start:double,end:double,score:double,type:string,text:string>>")), lambda k: (overlap(k["start"], k["end"], h["start"], h["end"]) > 0) & (k["score"] > 0))
-        # the best score wins; of equal ones the first in the list
-        best = F.aggregate(near, F.lit(None).cast("struct<start:double,end:double,score:double,type:string,text:string>"), lambda a, k: F.when(a.isNull() | (k["score"] > a["score"]), k).otherwise(a))
-        found = F.struct(best.alias("hook"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("audio"), _mean("face", lo, hi).alias("face"), _mean("speech", lo, hi).alias("speech"))
-
-        def scored(x):
-            text = F.coalesce(x["hook"]["score"], F.lit(0.0))
-            raw = 0.5 * text + 0.3 * x["audio"] + 0.2 * x["face"]
-            mute = (x["speech"] < 0.1) & (x["audio"] < 0.2)
-            return F.struct(
-                clip01(F.when(mute, raw * 0.4).otherwise(raw)).alias("hook"), text.alias("hook_text_score"), F.coalesce(x["hook"]["type"], F.lit("")).alias("hook_type"),
-                F.substring(F.coalesce(x["hook"]["text"], F.lit("")), 1, 160).alias("hook_text"), x["audio"].alias("hook_audio"), x["face"].alias("hook_face"), x["speech"].alias("hook_speech"),
-            )
-
-        return let(found, scored)
+        return hook_in(h["start"], h["end"], F.struct(array_percentile(_part("audio_energy", lo, hi), 0.9).alias("audio"), _mean("face", lo, hi).alias("face"), _mean("speech", lo, hi).alias("speech")))
 
     return let(F.struct(start.alias("start"), end.alias("end")), of_head)
 
 
+def hook_in(start: Column, end: Column, near: Column) -> Column:
+    """The hook signal of the head [start, end). ``near`` is what is seen and heard there: audio, face, speech."""
+    kind = "struct<start:double,end:double,score:double,type:string,text:string>"
+    some = F.filter(F.coalesce("hooks", F.array().cast(f"array<{kind}>")), lambda k: (k["end"] > start) & (k["start"] < end) & (k["score"] > 0))
+    # the best score wins; of equal ones the first in the list
+    best = F.aggregate(some, F.lit(None).cast(kind), lambda a, k: F.when(a.isNull() | (k["score"] > a["score"]), k).otherwise(a))
+
+    def scored(x):
+        hook, near = x["hook"], x["near"]
+        text = F.coalesce(hook["score"], F.lit(0.0))
+        raw = 0.5 * text + 0.3 * near["audio"] + 0.2 * near["face"]
+        mute = (near["speech"] < 0.1) & (near["audio"] < 0.2)
+        return F.struct(
+            clip01(F.when(mute, raw * 0.4).otherwise(raw)).alias("hook"), text.alias("hook_text_score"), F.coalesce(hook["type"], F.lit("")).alias("hook_type"),
+            F.substring(F.coalesce(hook["text"], F.lit("")), 1, 160).alias("hook_text"), near["audio"].alias("hook_audio"), near["face"].alias("hook_face"), near["speech"].alias("hook_speech"),
+        )
+
+    return let(F.struct(best.alias("hook"), near.alias("near")), scored)
+
+
 def window_at(start: Column, end: Column, cfg: Scoring, head: Column | None = None) -> Column:
     """Statistics and signals of [start, end) as a struct, unrounded. ``head`` is the hook at its start, where that is known."""
     c = cfg.cell_s
@@ -172,19 +181,29 @@ def score_windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, ma
     """
     # timelines are small for the work in them: by size alone they would all be put in one task
     tasks = max(2 * timeline.sparkSession.sparkContext.defaultParallelism, int(timeline.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = with_totals(with_hooks(timeline, hooks).repartition(tasks, "episode_id"))
-    windows, step = windows_of(min_s, max_s, cfg), max(0.25, cfg.step_s)
-
-    def of_windows(all_):
-        # windows of all lengths share their starts: a hook is worked out once for each
-        last = F.array_max(F.transform(all_, lambda w: w["no"]))
-        heads = F.transform(F.sequence(F.lit(0), last), lambda i: hook_at((i * step).cast("double"), cfg))
-        return let(heads, lambda h: F.transform(all_, lambda w: window_at(w["start"], w["end"], cfg, F.get(h, w["no"]))))
-
-    made = let(windows, of_windows)
-    w = F.col("w")
-    out = x.select("episode_id", F.explode(made).alias("w"))
-    return out.select("episode_id", F.round(w["start"], 3).alias("start_s"), F.round(w["end"], 3).alias("end_s"), F.round(w["end"] - w["start"], 3).alias("duration_s"), score_of(w, cfg).alias("score"), w["signals"].alias("signals"), w["stats"].alias("stats"), warnings_of(w, cfg).alias("warnings"))
+    x = with_hooks(timeline, hooks).repartition(tasks, "episode_id")
+    step, c = max(0.25, cfg.step_s), cfg.cell_s
+    x = x.withColumn("windows", windows_of(min_s, max_s, cfg))
+    # windows of all lengths share their starts: a head is worked out once for each
+    x = x.withColumn("starts", F.transform(F.sequence(F.lit(0), F.array_max(F.col("windows.no"))), lambda i: (i * step).cast("double")))
+    x = x.withColumn("ends", F.transform("starts", lambda s: F.least(F.col("duration_s"), s + cfg.hook_window_s)))
+    stats = lambda start, end: ranks.window_stats(start, end, cell_s=c, silent=SILENT)
+    x = x.withColumn("r", stats(F.col("windows.start"), F.col("windows.end"))).withColumn("h", stats(F.col("starts"), F.col("ends")))
+    near = lambda i: F.struct(*[F.get(F.col("h")[k], i).alias(n) for k, n in (("energy_p90", "audio"), ("face", "face"), ("speech", "speech"))])
+    x = x.withColumn("heads", F.transform("starts", lambda s, i: hook_in(s, F.get("ends", i), near(i))))
+
+    # rows are of a few numbers from here on, and each step is small enough to be compiled
+    each = F.arrays_zip(*[F.col("r")[k].alias(k) for k in ranks.STATS], F.col("windows.start").alias("start"), F.col("windows.end").alias("end"), F.col("windows.no").alias("no"))
+    x = x.select("episode_id", "motion_ref", "heads", each.alias("each")).select("episode_id", "motion_ref", "heads", F.explode("each").alias("at"))
+    w, span = F.col("at"), F.greatest(F.lit(1e-6), F.col("at.end") - F.col("at.start"))
+    shown = {
+        "speech_density": w["speech"], "words_per_s": w["words"] / span, "longest_silence_s": w["hush"] * c, "energy_p90": w["energy_p90"], "energy_mean": w["energy"], "sharpness": w["sharpness"],
+        "face_coverage": w["face"], "face_peak": w["face_peak"], "cuts_per_min": w["cuts"] / span * 60.0, "motion_mean": w["motion"], "head": F.get("heads", w["no"]),
+    }
+    x = x.select("episode_id", "motion_ref", "at", F.struct(*[v.alias(k) for k, v in shown.items()]).alias("stats"))
+    x = x.withColumn("signals", _signals(F.col("stats"), cfg))
+    w = {"stats": F.col("stats"), "signals": F.col("signals"), "start": F.col("at.start"), "end": F.col("at.end")}
+    return x.select("episode_id", F.round(w["start"], 3).alias("start_s"), F.round(w["end"], 3).alias("end_s"), F.round(w["end"] - w["start"], 3).alias("duration_s"), score_of(w, cfg).alias("score"), w["signals"].alias("signals"), w["stats"].alias("stats"), warnings_of(w, cfg).alias("warnings"))
 
 
 def with_hooks(timeline: DataFrame, hooks: DataFrame | None) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempora.functions import ranks
 from tempora.operators import edits, matching, moments
 from tempora.plans.config import Scoring, Validation
 from tempora.sources import wav
@@ -224,3 +225,36 @@ def test_best_title_is_that_of_all_results(spark):
         if q not in best or s > best[q][1]:
             best[q] = (no, s)
     assert got == best
+
+
+# ---------------------------------------------------------------- rank structures
+
+
+def test_windows_of_rank_structures_against_slices():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 64, 200):
+        x = {s: rng.choice([0.0, 0.1, 0.25, 0.9, rng.random()], n) for s in ranks.SIGNALS}
+        x["audio_energy"][rng.integers(n)] = -1.5
+        lo = rng.integers(0, n + 1, 300)
+        hi = np.minimum(n, lo + rng.integers(0, n + 1, 300))
+        got = ranks.stats_of(x, lo, hi, 0.2)
+        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+            part = {k: v[a:b] for k, v in x.items()}
+            runs = "".join("s" if v < 0.2 else " " for v in part["speech"]).split()
+            want = [part["speech"].mean() if b > a else 0, part["words"].sum(), max(map(len, runs), default=0), np.percentile(part["audio_energy"], 90) if b > a else 0, part["audio_energy"].mean() if b > a else 0]
+            assert [got[k][i] for k in ("speech", "words", "hush", "energy_p90", "energy")] == pytest.approx(want, abs=1e-12)
+            assert got["sharpness"][i] == (part["audio_sharpness"].max() if b > a else 0) and got["face_peak"][i] == (part["face_ratio"].max() if b > a else 0)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 1.0])
+def test_percentiles_with_ties(q):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, 90) / 3
+    lo, hi = np.triu_indices(91, 1)
+    assert ranks.RankMatrix(x).percentile(lo, hi, q) == pytest.approx([np.quantile(x[a:b], q) for a, b in zip(lo, hi, strict=True)])
+    assert ranks.RankMatrix(np.zeros(0)).percentile(np.zeros(2, int), np.zeros(2, int), q).tolist() == [0, 0]
+
+
+def test_cells_of_windows():
+    lo, hi = ranks.cells_of(np.array([0.0, 1.2, 5.0, 9.9, 12.0, -3.0]), np.array([0.0, 1.3, 6.5, 20.0, 13.0, 0.4]), 20, 0.5)
+    assert list(zip(lo.tolist(), hi.tolist(), strict=True)) == [(0, 1), (2, 3), (10, 13), (19, 20), (20, 20), (0, 1)]
