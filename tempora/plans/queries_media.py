@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tempora.functions import dsp
-from tempora.operators import edits, moments
+from tempora.functions import dsp, text
+from tempora.operators import edits, layout, moments
 from tempora.plans.config import Validation
 from tempora.plans.queries_text import ASKED, EVALUATED, _asked
 from tempora.plans.stand_ins import CFG, SQL, read, signals, timeline
@@ -106,7 +106,30 @@ def answer_attempts(spark, d):
     return x.select("episode_id", "attempt", "title", F.size("segs").alias("n_segs"), F.round("duration_s", 3).alias("duration_s"), "source")
 
 
-QUERIES = {f.__name__: f for f in (pcm_frames, edit_decisions, edit_words, edit_cuts, edit_camera, answer_attempts)}
+#: Advances by a rule, as no font is at hand: 300 to 900 thousandths, by code point.
+GLYPHS = layout.Metrics(tuple(300 + 100 * (i % 7) for i in range(0x250)), other=700, line=1150, stroke=1)
+MARKED = layout.Metrics(tuple(400 + 100 * (i % 7) for i in range(0x250)), other=800, line=1300, stroke=2)
+
+
+def subtitle_lines(spark, d):
+    x = read(spark, d, "conversations").where("text is not null")
+    tagged = F.regexp_replace("text", r"(\S+\s+\S+\s+)([^\s<]+)", "$1<hl>$2</hl>")
+    made = text.spans(tagged)
+    x = x.select("conv_id", "turn", made.alias("s"))
+    lines = layout.lay_out(F.col("s"), size=40, max_width=640, plain=GLYPHS, highlighted=MARKED)
+    height = layout.line_height(F.col("s"), size=40, plain=GLYPHS, highlighted=MARKED)
+    x = x.select("conv_id", "turn", F.posexplode(lines).alias("line", "l"), height.alias("height"))
+    return x.select("conv_id", "turn", "line", F.array_join(F.transform("l.tokens", lambda t: t["text"]), "").alias("text"), F.size(F.filter("l.tokens", lambda t: t["highlighted"])).alias("marked"), F.col("l.width").alias("width"), "height")
+
+
+def title_fit(spark, d):
+    title = text.title_of(F.col("text"), "CLIP")
+    x = read(spark, d, "documents").where("text is not null").select("doc_id", title.alias("t"))
+    fit = layout.fit_title(F.split(text.wrap_words(F.col("t"), 3), "\n"), size=96, least=24, max_width=900, max_height=260, metrics=GLYPHS)
+    return x.select("doc_id", F.col("t").alias("title"), fit.alias("f")).select("doc_id", "title", "f.size", "f.tries", "f.fits")
+
+
+QUERIES = {f.__name__: f for f in (subtitle_lines, title_fit, pcm_frames, edit_decisions, edit_words, edit_cuts, edit_camera, answer_attempts)}
 
 EDITS = """
 pc AS (
@@ -117,7 +140,28 @@ ed AS (
   SELECT episode_id, moment_no::INT AS moment_no, (row_number() OVER w)::INT AS piece, s AS a, e AS b, speed,
     (sum(e - s) OVER w - (e - s)) / speed AS oa, sum(e - s) OVER w / speed AS ob
   FROM sp WINDOW w AS (PARTITION BY episode_id, moment_no ORDER BY s, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+_UNITS = "list_sum(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 592 THEN {1} + 100 * (unicode(c) % 7) ELSE {2} END))"
+_SIZES = ", ".join(f"({i + 1}, {s})" for i, s in enumerate(layout.ladder(96, 24)[:-1]))
 ORACLES = {
+    "subtitle_lines": rf"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '(\S+\s+\S+\s+)([^\s<]+)', '\1<hl>\2</hl>', 'g'), '<hl>\S+?</hl>|[^\s<]\S*\s*') AS ts FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT conv_id, turn, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS raw FROM g),
+m AS (SELECT conv_id, turn, i, starts_with(raw, '<hl>') AS hl, replace(replace(raw, '<hl>', ''), '</hl>', '') AS t FROM k),
+w AS (SELECT *, CASE WHEN hl THEN ceil({_UNITS.format("t", 400, 800)} * 40 / 1000.0::DOUBLE)::INT + 4 ELSE ceil({_UNITS.format("t", 300, 700)} * 40 / 1000.0::DOUBLE)::INT + 2 END AS width FROM m),
+r AS (
+  SELECT conv_id, turn, i, hl, t, width, 0 AS line, width AS used FROM w WHERE i = 1
+  UNION ALL
+  SELECT w.conv_id, w.turn, w.i, w.hl, w.t, w.width, CASE WHEN used + w.width <= 640 THEN line ELSE line + 1 END, CASE WHEN used + w.width <= 640 THEN used + w.width ELSE w.width END
+  FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn AND w.i = r.i + 1)
+SELECT conv_id, turn, line, string_agg(t, '' ORDER BY i) AS text, count(*) FILTER (WHERE hl)::INT AS marked, max(used)::INT AS width, {max(-(-1150 * 40 // 1000) + 2, -(-1300 * 40 // 1000) + 4) + 2} AS height
+FROM r GROUP BY conv_id, turn, line""",
+    "title_fit": rf"""
+WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s\-]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, trim(left(upper(array_to_string(string_split(t, ' ')[1:6], ' ')), 45)) AS t FROM x), z AS (SELECT doc_id, CASE WHEN t <> '' THEN t ELSE 'CLIP' END AS title FROM y),
+v AS (SELECT *, regexp_extract_all(title, '\S+') AS ws FROM z), l AS (SELECT doc_id, title, list_transform(range(0, ((len(ws) + 2) // 3)::BIGINT), lambda i: array_to_string(ws[i * 3 + 1:i * 3 + 3], ' ')) AS ls FROM v),
+b AS (SELECT doc_id, title, list_max(list_transform(ls, lambda q: {_UNITS.format("q", 300, 700)})) AS units, len(ls) AS n FROM l),
+f AS (SELECT b.*, k, s, ceil(units * s / 1000.0::DOUBLE) + 2 <= 900 AND ceil(n * 1150 * s / 1000.0::DOUBLE) + 2 <= 260 AS ok FROM b, (VALUES {_SIZES}) z(k, s))
+SELECT doc_id, title, coalesce(arg_min(s, k) FILTER (WHERE ok), {layout.ladder(96, 24)[-1]})::INT AS size, coalesce(min(k) FILTER (WHERE ok), 20)::INT AS tries, bool_or(ok) AS fits FROM f GROUP BY doc_id, title""",
     "pcm_frames": """
 WITH x AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,

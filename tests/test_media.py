@@ -1,5 +1,6 @@
 """Recordings by byte ranges, the time map of edits, answers of several attempts, similarity with pruning."""
 
+import math
 import random
 import struct
 import wave
@@ -9,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.functions import ranks
-from tempora.operators import edits, matching, moments
+from tempora.functions import ranks, text
+from tempora.operators import edits, layout, matching, moments
 from tempora.plans.config import Scoring, Validation
 from tempora.sources import wav
 
@@ -258,3 +259,54 @@ def test_percentiles_with_ties(q):
 def test_cells_of_windows():
     lo, hi = ranks.cells_of(np.array([0.0, 1.2, 5.0, 9.9, 12.0, -3.0]), np.array([0.0, 1.3, 6.5, 20.0, 13.0, 0.4]), 20, 0.5)
     assert list(zip(lo.tolist(), hi.tolist(), strict=True)) == [(0, 1), (2, 3), (10, 13), (19, 20), (20, 20), (0, 1)]
+
+
+# ---------------------------------------------------------------- layout
+
+PLAIN = layout.Metrics(tuple(300 + 7 * (i % 50) for i in range(128)), other=900, stroke=1)
+BOLD = layout.Metrics(tuple(350 + 9 * (i % 40) for i in range(128)), other=950, line=1400, stroke=2)
+
+
+def width(m, t, size):
+    return math.ceil(sum(m.advances[ord(c)] if ord(c) < 128 else m.other for c in t) * size / 1000) + 2 * m.stroke if t else 0
+
+
+def test_lines_against_a_loop(spark):
+    rng = random.Random(3)
+    texts = [None, "", "   ", "<hl></hl>", "verylongwordthatneverfits " * 2, "a 😀 b"] + [" ".join(rng.choice(["one", "two", "<hl>three</hl>", "<hl>four five</hl>", "é", "longer-word", "x"]) for _ in range(rng.randrange(30))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("s", text.spans("t"))
+    at = {"size": 30, "plain": PLAIN, "highlighted": BOLD, "emoji_scale": 1.5}
+    out = df.select("i", text.span_tokens(F.col("s")).alias("tokens"), layout.lay_out(F.col("s"), max_width=140, **at).alias("lines"), layout.line_height(F.col("s"), **at).alias("h"))
+    tall = 0
+    for r in out.collect():
+        lines, now, used = [], [], 0
+        for t in r["tokens"]:
+            w = width(BOLD if t["highlighted"] else PLAIN, t["text"], 30)
+            w = math.ceil(w * 1.5) if "😀" in t["text"] else w
+            if now and used + w > 140:
+                lines.append((now, used))
+                now, used = [], 0
+            now, used = [*now, (t["text"], t["highlighted"])], used + w
+        lines += [(now, used)] if now else []
+        assert [([tuple(t) for t in x["tokens"]], x["width"]) for x in r["lines"]] == lines
+        high = max(math.ceil(m.line * 30 / 1000) + 2 * m.stroke for m in (PLAIN, BOLD))
+        assert r["h"] == (0 if not r["tokens"] else int(high * 1.5) + 2 if any("😀" in t["text"] for t in r["tokens"]) else high + 2)
+        tall += r["h"] > high + 2
+    assert tall == 1
+
+
+@pytest.mark.parametrize("size,least,max_height", [(90, 20, None), (90, 20, 100), (25, 20, 60), (10, 20, 60), (1, 0, 60)])
+def test_title_size_against_a_loop(spark, size, least, max_height):
+    titles = [["A"], ["LONG TITLE", "IN TWO LINES"], ["W" * 90], [], None, ["Я" * 20, "x"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t array<string>")
+    got = df.select("i", layout.fit_title(F.col("t"), size=size, least=least, max_width=300, max_height=max_height, metrics=PLAIN).alias("f")).orderBy("i").collect()
+    for r, lines in zip(got, titles, strict=True):
+        now, tries, fits = max(1, size), 0, False
+        while tries < 20 and now >= max(1, least):
+            tries += 1
+            w = max((width(PLAIN, t, now) for t in lines or []), default=0)
+            if w <= 300 and (max_height is None or math.ceil(len(lines or []) * PLAIN.line * now / 1000) + 2 * PLAIN.stroke <= max_height):
+                fits = True
+                break
+            now = max(max(1, least), math.floor(now * 0.92))
+        assert (r["f"]["size"], r["f"]["tries"], r["f"]["fits"]) == (now, tries, fits), lines
