@@ -9,7 +9,7 @@ Scale: rules are a short list and become one expression; only pages that carry a
 graph; components run as joins and aggregates on the executors (``components``).
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule, and is allowed;
-null html has no edge; repeated rows are judged alike; edges to pages that are not in the table
+null html has no edge, and a page has an edge for each link it holds; repeated rows are judged alike; edges to pages that are not in the table
 count (their rule does, too); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,8 +26,45 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: A longer list of rules would need a join in place of one expression.
 MAX_RULES = 500
 
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'>\s]+)"
+#: What a browser reads no links in: comments (to the end, if unclosed), scripts, styles.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+#: A link or meta tag; a ">" within quotes does not end it, unless its quotes don't match.
+TAG = r"(?is)<(?:link|meta)\b(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+# Entities that occur in addresses.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _first(text: Column, pattern: str) -> Column:
+    """The first group of ``pattern`` that holds anything."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in (1, 2, 3)], F.lit(""))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    return _first(tag, rf"(?is)(?<![\w-]){name}{VALUE}")
+
+
+def decoded(text: Column) -> Column:
+    """Text of an attribute: numbered entities of any code point, and those in ``ENTITIES``."""
+    code = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.regexp_extract(e, "(?i)&#x([0-9a-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "&#([0-9]+);", 1)).cast("int")
+    sign = lambda e: F.when((code(e) > 0) & (code(e) < 0xD800), F.decode(F.unhex(F.lpad(F.hex(code(e).cast("long")), 8, "0")), "UTF-32")).otherwise(e)
+    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)(&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});)"), F.lit(1)))
+    out = F.aggregate(numbered, text, lambda acc, e: F.replace(acc, e, sign(e)))
+    for entity, plain in ENTITIES.items():  # the sign that begins them all is last
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    return out
+
+
+def targets_of(html: Column) -> Column:
+    """All addresses that a page names as its canonical one or sends readers on to, as they are written."""
+
+    def target(tag):
+        rel, equiv = F.split(F.lower(F.trim(attribute(tag, "rel"))), r"\s+"), F.lower(F.trim(attribute(tag, "http-equiv")))
+        there = _first(decoded(attribute(tag, "content")), rf"(?is)(?<![\w-])url{VALUE}")
+        return F.when(tag.rlike("(?i)^<link") & F.array_contains(rel, "canonical"), decoded(attribute(tag, "href"))).when(tag.rlike("(?i)^<meta") & (equiv == "refresh"), there)
+
+    tags = F.regexp_extract_all(F.regexp_replace(html, UNSEEN, " "), F.lit(TAG), F.lit(0))
+    return F.filter(F.transform(tags, target), lambda t: t.isNotNull() & (F.trim(t) != ""))
 
 
 def host_of(url: Column) -> Column:
@@ -70,8 +107,7 @@ def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     url, html = F.col(url_col), F.col(html_col)
     hints = F.lower(html)
     found = pages.where(url.contains("://") & (hints.contains("canonical") | hints.contains("refresh")))
-    pick = lambda p, n: F.coalesce(*[F.nullif(F.regexp_extract(html, p, i), F.lit("")) for i in range(1, n + 1)])
-    both = found.select(url.alias("src"), F.explode(F.array_compact(F.array(pick(CANONICAL, 3), pick(REFRESH, 1)))).alias("dst"))
+    both = found.select(url.alias("src"), F.explode(F.array_distinct(targets_of(html))).alias("dst"))
     return both.select("src", _resolved(F.col("src"), F.trim("dst")).alias("dst")).where("src <> dst")
 
 

@@ -32,6 +32,28 @@ def test_url_aliases(spark):
     assert url_aliases.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LINKS = {  # what a page holds, and where that leads from http://h.net/a/b
+    '<link rel="canonical" href="/one"><link rel=canonical href="http://b.com/de/2">': ["http://b.com/de/2", "http://h.net/one"],
+    '<LINK REL="alternate Canonical" HREF=\'two\'>': ["http://h.net/a/two"],
+    '<!-- <link rel="canonical" href="/no"> --><script>"<link rel=canonical href=/no>"</script><link href="/yes" rel="canonical"/>': ["http://h.net/yes"],
+    '<link rel="canonical" href="/q?a=1&amp;b=2&#38;c=&#x41;&#1046;">': ["http://h.net/q?a=1&b=2&c=AЖ"],
+    '<link rel="notcanonical" href="/no"><link data-rel="canonical" href="/no"><a rel="canonical" href="/no">': [],
+    '<link title="a > b" rel="canonical" href="/after">': ["http://h.net/after"],
+    '<link title="open rel=canonical href=/loose>': ["http://h.net/loose"],
+    '<meta http-equiv="refresh" content="5; URL=\'/r1\'"><meta content="0;url=//k.org/r2" http-equiv=refresh>': ["http://h.net/r1", "http://k.org/r2"],
+    '<meta name="refresh" content="0; url=/no"><!-- <meta http-equiv=refresh content="0; url=/no">': [],
+    '<link rel="canonical" href="">' + "<link rel=canonical href='/same'>" * 3: ["http://h.net/same"],
+}
+
+
+def test_every_link_of_a_page_is_an_edge(spark):
+    pages = spark.createDataFrame([(i, "http://h.net/a/b", html) for i, html in enumerate(LINKS)], "page_id long, url string, html string")
+    for i, want in enumerate(LINKS.values()):
+        assert sorted(r["dst"] for r in url_aliases.alias_edges(pages.where(f"page_id = {i}")).collect()) == want
+    blocked = url_aliases.judge(pages.where("page_id = 0")).first()
+    assert blocked["verdict"] == "block"
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
