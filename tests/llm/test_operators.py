@@ -181,6 +181,35 @@ def test_language_model(spark):
     assert nothing.predict(["text"])[0] == ["und"]
 
 
+def test_no_two_letters_share_their_units():
+    units = {}
+    for c in map(chr, range(0x110000)):
+        if c.isalpha() and c == c.lower():
+            assert units.setdefault(tuple(kn_language.codes_of(c).tolist()), c) == c
+    assert len(units) > 130_000 and max(max(u) for u in units) < kn_language.CODES
+    assert len(kn_language.codes_of("\u0301 42 \u093f")) == 0 and len(kn_language.codes_of("क्षि")) == 2 + 2 * 4
+    assert kn_language.codes_of("Àრ, ,x").tolist() == [32, 0xE0, *kn_language.codes_of("რ")[1:-1].tolist(), 32, ord("x"), 32]
+
+
+#: Words whose letters had the same codes once, or differ only past the first planes: Georgian and Icelandic, Han, kana and Hangul, Devanagari.
+SCRIPTS = {
+    "ka": "გამარჯობა რა არის ეს ქართული ენა და მისი ანბანი", "is": "það er gott að læra íslensku á hverjum degi og tala við fólk", "zh": "我们今天学习汉语和写汉字的方法",
+    "ja": "これはひらがなとカタカナのぶんしょうです", "ko": "우리는 오늘 한국어를 배우고 글을 씁니다", "hi": "यह हिन्दी भाषा का एक छोटा वाक्य है और इसमें मात्राएँ हैं", "ext": "\U00020000\U00020001\U00020002 \U00020003\U00020004\U00020005",
+}
+
+
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(21)
+    rows = [(lang, "".join(rng.sample(list(text), len(text)))) for lang, text in SCRIPTS.items() for _ in range(6)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = kn_language.predict(df, kn_language.calibrate(kn_language.train(df), df), keep=["lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.9 and r["accepted"] for r in got) and len(got) == len(rows)
+    two = spark.createDataFrame([("is", SCRIPTS["is"])] * 3, "lang string, text string")
+    m = kn_language.calibrate(kn_language.train(two), two)
+    others = spark.createDataFrame([(k, t) for k, t in SCRIPTS.items() if k != "is"], "lang string, text string")
+    assert not any(r["accepted"] for r in kn_language.predict(others, m, keep=["lang"]).collect())
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = kn_language.predict(d, kn_language.trained(d), keep=["doc_id", "lang"]).where(kn_language.held_out())
