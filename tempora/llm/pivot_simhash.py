@@ -5,10 +5,10 @@ distinct fingerprint; by the triangle inequality two fingerprints within ``radiu
 at most ``radius`` in every coordinate of that table, so a pair with a larger difference anywhere is
 discarded and only survivors are verified.
 
-Which pairs are looked at at all: references restricted to a block of bits give, together, the
-block's contents, and of ``BLOCKS`` blocks at least ``BLOCKS - radius`` have distance 0 in a linked pair. So
-fingerprints are grouped by the references' coordinates on each choice of that many blocks; no
-linked pair is missed. A group larger than ``GROUP_ROWS`` is dealt out as pairs of hashed parts,
+Which pairs are looked at at all is an exit from that method: candidate groups are pigeonhole bit blocks. Of ``BLOCKS``
+blocks of bits at least ``BLOCKS - radius`` are equal in a linked pair, so fingerprints are grouped by each choice of that
+many blocks, and no linked pair is missed. Distances to pivots only filter pairs within a group before the exact
+distance, and change no row. A group larger than ``GROUP_ROWS`` is dealt out as pairs of hashed parts,
 each a task's work of bounded size, and a task returns a spanning forest of its links, never all
 pairs. Equal fingerprints are one node throughout, so thousands of copies cost one row.
 
@@ -118,7 +118,7 @@ def _keys(radius: int, blocks: int):
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Edges (u, v) that span the same components as all pairs of ``fp`` within ``radius`` bits."""
     masks = _keys(radius, blocks)
-    # Coordinates on the references of the chosen blocks name the blocks' contents; here, those bits themselves.
+    # candidate groups: equal bits on the chosen blocks
     keyed = distinct.select("fp", "tab", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(int(m.astype(np.int64)))) for m in masks])).alias("choice", "bits"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     keyed = keyed.join(sizes, ["choice", "bits"])
