@@ -80,7 +80,7 @@ def grey_thumbnail(pixels: Column, height: Column, width: Column, size: int = 32
     def run(px: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for raw, rows, cols in zip(px, h, w, strict=True):
-            if raw is None or not rows or not cols:
+            if raw is None or not (rows > 0 and cols > 0):  # nulls come as NaN
                 out.append(None)
                 continue
             a = np.frombuffer(raw, np.uint8).reshape(int(rows), int(cols), 3).astype(np.float64) / 255.0
@@ -99,7 +99,8 @@ def alpha_box(alpha: Column, height: Column, width: Column) -> Column:
     def run(a: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
         rows = []
         for raw, r, c in zip(a, h, w, strict=True):
-            y, x = np.nonzero(np.frombuffer(raw or b"", np.uint8).reshape(int(r or 0), int(c or 0)) == 0)
+            known = raw is not None and r > 0 and c > 0  # nulls come as NaN
+            y, x = np.nonzero(np.frombuffer(raw, np.uint8).reshape(int(r), int(c)) == 0) if known else ((), ())
             rows.append((x.min(), y.min(), x.max() + 1, y.max() + 1) if len(x) else (None,) * 4)
         return pd.DataFrame(rows, columns=["left", "top", "right", "bottom"]).astype("Int32")
 

@@ -173,6 +173,13 @@ ORACLES = {
     "rolling_median_cuts": f"WITH {FRAMES}, m AS (SELECT *, coalesce(quantile_cont(diff, 0.5) OVER (PARTITION BY episode_id ORDER BY frame ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING), 0) AS median FROM mo) SELECT episode_id, frame, round(median, 9) AS median, diff >= greatest(0.12, 1.1 * median) AS is_cut FROM m",
     "peak_islands": f"WITH {FRAMES}, {ISLANDS} SELECT * FROM evt",
     "gap_merge_sessions": f"WITH {FRAMES}, {ISLANDS}, s AS (SELECT *, max(end_s) OVER (PARTITION BY episode_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM evt), g AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_s - reached > 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY start_s, end_s) AS n FROM s) SELECT episode_id, min(start_s) AS start_s, max(end_s) AS end_s, max(peak) AS peak, sum(frames)::BIGINT AS frames, CASE WHEN bool_or(category = 'strong') THEN 'strong' ELSE 'soft' END AS category FROM g GROUP BY episode_id, n",
+    "gap_merge_fold": f"""WITH {FRAMES}, {ISLANDS}, s AS (SELECT *, max(end_s) OVER (PARTITION BY episode_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM evt),
+g AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_s - reached > 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY start_s, end_s) AS n FROM s)
+SELECT episode_id, min(start_s) AS start_s, max(end_s) AS end_s, max(peak) AS peak, list_reduce(list(mean ORDER BY start_s, end_s, mean), lambda a, m: round((a + m) / 2, 6)) AS mean,
+  sum(frames)::BIGINT AS frames, CASE WHEN bool_or(category = 'strong') THEN 'strong' ELSE 'soft' END AS category FROM g GROUP BY episode_id, n""",
+    "spectral_centroid": """WITH e AS (SELECT vec_id, len(embedding) AS size, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+f AS (SELECT vec_id, size, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / size)), 2) + pow(sum(x * sin(2 * pi() * k * i / size)), 2)) AS m FROM e, (SELECT unnest(range(0, 33)) AS k) WHERE k <= size // 2 GROUP BY vec_id, size, k)
+SELECT vec_id, round(sum(k * 16000.0::DOUBLE / size * m) / greatest(sum(m), 1e-12), 3) AS centroid FROM f GROUP BY vec_id""",
     "event_features": f"WITH {FRAMES}, {ISLANDS}, j AS (SELECT e.episode_id, start_s, end_s, category, avg(rms) AS rm, quantile_cont(rms, 0.95) AS rp, avg(zcr) AS z, avg(zcr * 8000) AS c FROM evt e JOIN fr ON e.episode_id = fr.episode_id AND frame >= round(start_s / 0.04) AND frame < round(end_s / 0.04) GROUP BY ALL) SELECT episode_id, start_s, end_s, category, round(rm, 6) AS rms_mean, round(rp, 6) AS rms_p95, round(z, 6) AS zcr_mean, round(c, 3) AS centroid_mean, round(0.65 * z + 0.35 * least(1, greatest(0, c / 8000)), 6) AS sharpness FROM j",
     "event_labels_topk": f"""WITH {SQL}, x AS (SELECT episode_id, event_id, peak, category, round(s, 3) AS start_s, round(s + (event_id % 5) * 0.1::DOUBLE + 0.1::DOUBLE, 3) AS end_s, sharpness * 0.5::DOUBLE AS sharp, max(peak) OVER (PARTITION BY episode_id) AS top FROM aud),
 y AS (SELECT *, round(end_s - start_s, 3) AS duration_s, CASE WHEN top > 0 THEN peak / top END AS share, row_number() OVER (PARTITION BY episode_id ORDER BY CASE WHEN category = 'strong' THEN 0 ELSE 1 END, peak DESC, start_s, end_s) AS n FROM x)
