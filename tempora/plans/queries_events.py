@@ -73,7 +73,7 @@ def gap_merge_fold(spark, d):
 
 
 def event_features(spark, d):
-    f = frames(spark, d).withColumn("centroid", F.col("zcr") * 8000.0)
+    f = frames(spark, d).withColumn("centroid", dsp.spectral_centroid(F.col("embedding"), 16000))
     x = events.event_features(_islands(spark, d), f, key="episode_id", frame_s=FRAME_S)
     return x.select("episode_id", "start_s", "end_s", "category", "rms_mean", "rms_p95", "zcr_mean", "centroid_mean", "sharpness")
 
@@ -165,6 +165,12 @@ isl AS (SELECT episode_id, category, min(frame) AS a, max(frame) + 1 AS b, max(r
   SELECT episode_id, 'strong' AS category, frame, rms, frame - row_number() OVER (PARTITION BY episode_id ORDER BY frame) AS g FROM fl WHERE strong
   UNION ALL SELECT episode_id, 'soft', frame, rms, frame - row_number() OVER (PARTITION BY episode_id ORDER BY frame) FROM fl WHERE soft) GROUP BY episode_id, category, g HAVING count(*) * 0.04::DOUBLE * 1000 >= 30),
 evt AS (SELECT episode_id, round(a * 0.04::DOUBLE, 3) AS start_s, round(b * 0.04::DOUBLE, 3) AS end_s, round(peak, 6) AS peak, round(mean, 6) AS mean, frames, category FROM isl)"""
+#: Mean frequency of each vector's magnitude spectrum, by a discrete Fourier transform.
+SPECTRUM = """
+smp AS (SELECT vec_id, len(embedding) AS size, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+mag AS (SELECT vec_id, size, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / size)), 2) + pow(sum(x * sin(2 * pi() * k * i / size)), 2)) AS m
+  FROM smp, (SELECT unnest(range(0, 33)) AS k) WHERE k <= size // 2 GROUP BY vec_id, size, k),
+spec AS (SELECT vec_id, sum(k * 16000.0::DOUBLE / size * m) / greatest(sum(m), 1e-12) AS centroid FROM mag GROUP BY vec_id)"""
 ORACLES = {
     "audio_frame_rms_zcr": f"WITH {FRAMES} SELECT episode_id, vec_id, round(rms, 6) AS rms, round(zcr, 6) AS zcr FROM fr",
     "audio_global_stats": f"WITH {FRAMES} SELECT episode_id, round(avg(rms), 6) AS rms_mean, round(stddev_pop(rms), 6) AS rms_std, round(quantile_cont(rms, 0.9), 6) AS rms_p90, round(quantile_cont(rms, 0.95), 6) AS rms_p95, round(max(rms), 6) AS rms_max, round(avg(zcr), 6) AS zcr_mean, count(*) AS frames, round(count(*) * 0.04::DOUBLE, 3) AS duration_s FROM fr GROUP BY 1",
@@ -177,10 +183,11 @@ ORACLES = {
 g AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_s - reached > 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY start_s, end_s) AS n FROM s)
 SELECT episode_id, min(start_s) AS start_s, max(end_s) AS end_s, max(peak) AS peak, list_reduce(list(mean ORDER BY start_s, end_s, mean), lambda a, m: round((a + m) / 2, 6)) AS mean,
   sum(frames)::BIGINT AS frames, CASE WHEN bool_or(category = 'strong') THEN 'strong' ELSE 'soft' END AS category FROM g GROUP BY episode_id, n""",
-    "spectral_centroid": """WITH e AS (SELECT vec_id, len(embedding) AS size, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-f AS (SELECT vec_id, size, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / size)), 2) + pow(sum(x * sin(2 * pi() * k * i / size)), 2)) AS m FROM e, (SELECT unnest(range(0, 33)) AS k) WHERE k <= size // 2 GROUP BY vec_id, size, k)
-SELECT vec_id, round(sum(k * 16000.0::DOUBLE / size * m) / greatest(sum(m), 1e-12), 3) AS centroid FROM f GROUP BY vec_id""",
-    "event_features": f"WITH {FRAMES}, {ISLANDS}, j AS (SELECT e.episode_id, start_s, end_s, category, avg(rms) AS rm, quantile_cont(rms, 0.95) AS rp, avg(zcr) AS z, avg(zcr * 8000) AS c FROM evt e JOIN fr ON e.episode_id = fr.episode_id AND frame >= round(start_s / 0.04) AND frame < round(end_s / 0.04) GROUP BY ALL) SELECT episode_id, start_s, end_s, category, round(rm, 6) AS rms_mean, round(rp, 6) AS rms_p95, round(z, 6) AS zcr_mean, round(c, 3) AS centroid_mean, round(0.65 * z + 0.35 * least(1, greatest(0, c / 8000)), 6) AS sharpness FROM j",
+    "spectral_centroid": f"WITH {SPECTRUM} SELECT vec_id, round(centroid, 3) AS centroid FROM spec",
+    "event_features": f"""WITH {FRAMES}, {ISLANDS}, {SPECTRUM},
+j AS (SELECT e.episode_id, start_s, end_s, category, avg(rms) AS rm, quantile_cont(rms, 0.95) AS rp, avg(zcr) AS z, avg(centroid) AS c
+  FROM evt e JOIN fr ON e.episode_id = fr.episode_id AND frame >= round(start_s / 0.04) AND frame < round(end_s / 0.04) JOIN spec ON spec.vec_id = fr.vec_id GROUP BY ALL)
+SELECT episode_id, start_s, end_s, category, round(rm, 6) AS rms_mean, round(rp, 6) AS rms_p95, round(z, 6) AS zcr_mean, round(c, 3) AS centroid_mean, round(0.65 * z + 0.35 * least(1, greatest(0, c / 8000)), 6) AS sharpness FROM j""",
     "event_labels_topk": f"""WITH {SQL}, x AS (SELECT episode_id, event_id, peak, category, round(s, 3) AS start_s, round(s + (event_id % 5) * 0.1::DOUBLE + 0.1::DOUBLE, 3) AS end_s, sharpness * 0.5::DOUBLE AS sharp, max(peak) OVER (PARTITION BY episode_id) AS top FROM aud),
 y AS (SELECT *, round(end_s - start_s, 3) AS duration_s, CASE WHEN top > 0 THEN peak / top END AS share, row_number() OVER (PARTITION BY episode_id ORDER BY CASE WHEN category = 'strong' THEN 0 ELSE 1 END, peak DESC, start_s, end_s) AS n FROM x)
 SELECT episode_id, event_id, CASE WHEN share >= 0.9 THEN 'взрыв' WHEN share >= 0.75 THEN 'крик' WHEN share >= 0.6 THEN 'удар' ELSE 'пик' END AS type, duration_s,

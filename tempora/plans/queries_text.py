@@ -35,7 +35,7 @@ def interval_subtract(spark, d):
 
 def moment_weighted_eval(spark, d):
     x = moments.evaluate(_asked(spark, d), timeline(spark, d), signals(spark, d).hooks, CFG, CHECK)
-    return x.select("episode_id", "key", F.round("speech_density", 3).alias("speech_density"), *[F.round(F.col("signals")[c], 9).alias(c) for c in ("transcript", "audio", "face", "scene", "pacing")])
+    return x.select("episode_id", "key", F.round("speech_density", 3).alias("speech_density"), *[F.round(F.col("signals")[c], 9).alias(c) for c in ("transcript", "audio", "face", "scene", "pacing", "hook")], "score", "fatal")
 
 
 def repair_segments(spark, d):
@@ -204,6 +204,10 @@ WITH RECURSIVE r AS (SELECT 'query ' || p_partkey % 20 AS query, p_partkey AS no
 pairs AS (SELECT DISTINCT lower(title) AS a, query AS b FROM r UNION SELECT DISTINCT lower(original_title), query FROM r), {RATIOS},
 s AS (SELECT query, no, title, greatest(x.ratio, y.ratio) AS score FROM r JOIN ratios x ON x.a = lower(title) AND x.b = query JOIN ratios y ON y.a = lower(original_title) AND y.b = query)
 SELECT query, no, title, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, no) AS n FROM s) WHERE n = 1""",
+    "safe_file_names": r"""
+SELECT page_id, left(trim(regexp_replace(url, '[<>:"/\\|?*«»\s_]+', '_', 'g'), '._'), 150) AS safe,
+  coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(url, '[/\\:*?"<>|]', '-', 'g'), '[^\p{L}\p{N} _-]', '', 'g')), ' +', '_', 'g'), ''), CASE WHEN url IS NOT NULL THEN 'episode' END) AS stem
+FROM pages""",
     "similar_part_names": f"""
 WITH RECURSIVE pairs AS (SELECT DISTINCT lower(p.p_name) AS a, lower(q.p_name || ' ' || q.p_brand) AS b FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT p_name, p_brand FROM part) q), {RATIOS}
 SELECT a, b, round(ratio, 9) AS ratio FROM ratios WHERE ratio >= 0.7""",
@@ -212,8 +216,18 @@ q AS (SELECT episode_id, unnest(range(0, 721, 24))::INT AS at_h FROM eps), b AS
 SELECT q.episode_id, at_h AS "at", round(coalesce(p, at_h::DOUBLE), 6) AS snapped, n_points::INT AS n_points FROM q JOIN n USING (episode_id) LEFT JOIN b USING (episode_id, at_h)""",
     "interval_subtract": f"""WITH {SQL}, x AS (SELECT episode_id, s, least(e, 720.0) AS e FROM fac WHERE s < 720 AND e > 0), m AS (SELECT *, max(e) OVER (PARTITION BY episode_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM x),
 g AS (SELECT episode_id, coalesce(reached, 0.0) AS a, s AS b FROM m UNION ALL SELECT episode_id, max(e), 720.0 FROM x GROUP BY 1) SELECT episode_id, round(a, 6) AS start_s, round(b, 6) AS end_s FROM g WHERE b > a""",
-    "moment_weighted_eval": f"""WITH {SQL}, {ASKED}, {EVALUATED}
-SELECT episode_id, key, round(sum(round(density, 3) * share), 3) AS speech_density, round(sum(transcript * share), 9) AS transcript, round(sum(audio * share), 9) AS audio, round(sum(face_sig * share), 9) AS face, round(sum(scene * share), 9) AS scene, round(sum(pacing * share), 9) AS pacing FROM j GROUP BY 1, 2""",
+    "moment_weighted_eval": f"""WITH {SQL}, {ASKED}, {EVALUATED},
+hd AS (SELECT episode_id, key, a AS h0, least(720, a + 2) AS h1 FROM ask WHERE i = 0),
+hb AS (SELECT *, greatest(0, floor(h0))::INT AS lo, CASE WHEN least(720, ceil(h1)) <= greatest(0, floor(h0)) THEN least(720, greatest(0, floor(h0)) + 1) ELSE least(720, ceil(h1)) END::INT AS hi FROM hd),
+hc AS (SELECT h.episode_id, h.key, coalesce(quantile_cont(audio_energy, 0.9), 0) AS ha, coalesce(avg(face), 0) AS hf, coalesce(avg(speech), 0) AS hs
+  FROM hb h LEFT JOIN cells c ON c.episode_id = h.episode_id AND c.cell >= h.lo AND c.cell < h.hi GROUP BY h.episode_id, h.key),
+ht AS (SELECT h.episode_id, h.key, max(k.score) AS words FROM hd h JOIN hk k ON k.episode_id = h.episode_id AND least(k.e, h1) - greatest(k.s, h0) > 0 GROUP BY h.episode_id, h.key),
+ho AS (SELECT hc.episode_id, hc.key, greatest(0, least(1, (0.5 * coalesce(words, 0) + 0.3 * ha + 0.2 * hf) * CASE WHEN hs < 0.1 AND ha < 0.2 THEN 0.4 ELSE 1 END)) AS hook
+  FROM hc LEFT JOIN ht ON ht.episode_id = hc.episode_id AND ht.key = hc.key),
+mw AS (SELECT episode_id, key, sum(round(density, 3) * share) AS density, sum(transcript * share) AS transcript, sum(audio * share) AS audio, max(audio) AS loudest, sum(face_sig * share) AS face, sum(scene * share) AS scene, sum(pacing * share) AS pacing FROM j GROUP BY episode_id, key)
+SELECT episode_id, key, round(density, 3) AS speech_density, round(transcript, 9) AS transcript, round(audio, 9) AS audio, round(face, 9) AS face, round(scene, 9) AS scene, round(pacing, 9) AS pacing, round(hook, 9) AS hook,
+  round(0.24 * transcript + 0.20 * audio + 0.14 * face + 0.12 * scene + 0.14 * pacing + 0.16 * hook, 4) AS score,
+  CASE WHEN density < 0.05 AND loudest < 0.15 THEN '{moments.EMPTY}' END AS fatal FROM mw JOIN ho USING (episode_id, key)""",
     "model_json_decode": f"WITH {SQL}, {ASKED} SELECT episode_id, 'clip ' || key AS title, (2 - i)::INT AS i, round(a, 6) AS start_s, round(b, 6) AS end_s FROM ask",
     "heuristic_moments": f"""WITH {SQL}, {WINDOWS}, {CHOSEN} SELECT c.episode_id, rank::INT AS moment_no, CASE WHEN trim(htext) = '' THEN 'clip' ELSE upper(htext) END AS title, p.n AS duration_s, s.score, 'heuristic_candidate' AS source FROM cand c JOIN scored s ON c.episode_id = s.episode_id AND c.p.s = s.start_s AND c.p.n = s.len WHERE rank <= 3""",
     "transcript_projection": r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM conversations",
