@@ -189,17 +189,17 @@ SELECT episode_id, moment_no, piece, frame, round(t + 1e-12, 8) AS t,
 FROM lo JOIN hi USING (episode_id, moment_no, frame)""",
     "answer_attempts": f"""WITH {SQL}, {ASKED.replace('ask AS', 'asked AS')},
 spare AS (SELECT episode_id, event_id, row_number() OVER (PARTITION BY episode_id ORDER BY s, event_id) AS rank, s AS a, s + 12.0::DOUBLE + event_id % 5 AS b FROM aud WHERE category = 'strong' AND event_id % 3 = 0),
-ask AS (SELECT episode_id, key, i, a, b FROM asked UNION ALL SELECT episode_id, -event_id, 0, a, b FROM spare), {EVALUATED},
+ask AS (SELECT episode_id, key, i, a, b FROM asked UNION ALL SELECT episode_id, -1 - event_id, 0, a, b FROM spare), {EVALUATED},
 judged AS (SELECT episode_id, key, sum(round(density, 3) * share) AS density, max(audio) AS loudest, sum(end_s - start_s) AS size, count(*) AS n_segs FROM j GROUP BY ALL),
 good AS (SELECT *, CASE WHEN key % 4 = 0 THEN 1 WHEN key % 4 = 1 THEN 2 ELSE 3 END AS attempt FROM judged WHERE NOT (density < 0.12::DOUBLE AND loudest < 0.5::DOUBLE)),
 tries AS (SELECT episode_id, CASE WHEN key % 4 = 0 THEN 1 WHEN key % 4 = 1 THEN 2 ELSE 3 END AS attempt FROM asked GROUP BY ALL),
-own AS (SELECT * FROM good WHERE key > 0 AND NOT (attempt = 1 AND episode_id % 3 < 2) AND NOT (attempt = 2 AND episode_id % 5 < 2) AND NOT (attempt = 3 AND episode_id % 4 < 2)),
+own AS (SELECT * FROM good WHERE key >= 0 AND NOT (attempt = 1 AND episode_id % 3 < 2) AND NOT (attempt = 2 AND episode_id % 5 < 2) AND NOT (attempt = 3 AND episode_id % 4 < 2)),
 stop AS (SELECT episode_id, min(attempt) FILTER (WHERE attempt < 3) AS early FROM own GROUP BY 1),
 last AS (SELECT episode_id FROM tries WHERE attempt = 3 AND episode_id % 4 <> 0),
 pick AS (SELECT o.episode_id, o.attempt, 'clip ' || key AS title, n_segs, size, 'llm' AS source FROM own o JOIN stop s USING (episode_id) WHERE o.attempt = s.early OR (s.early IS NULL AND o.attempt = 3)),
 fill AS (
-  SELECT g.episode_id, 3 AS attempt, 'SPARE ' || (-key) AS title, n_segs, size, 'heuristic_candidate' AS source, row_number() OVER (PARTITION BY g.episode_id ORDER BY rank) AS n
-  FROM good g JOIN spare p ON p.episode_id = g.episode_id AND p.event_id = -g.key WHERE g.key < 0 AND g.episode_id IN (FROM last) AND g.episode_id NOT IN (SELECT episode_id FROM pick)),
+  SELECT g.episode_id, 3 AS attempt, 'SPARE ' || (-1 - key) AS title, n_segs, size, 'heuristic_candidate' AS source, row_number() OVER (PARTITION BY g.episode_id ORDER BY rank) AS n
+  FROM good g JOIN spare p ON p.episode_id = g.episode_id AND p.event_id = -1 - g.key WHERE g.key < 0 AND g.episode_id IN (FROM last) AND g.episode_id NOT IN (SELECT episode_id FROM pick)),
 got AS (SELECT * FROM pick UNION ALL SELECT * EXCLUDE (n) FROM fill WHERE n = 1)
 SELECT episode_id, attempt::INT AS attempt, title, n_segs::INT AS n_segs, round(size, 3) AS duration_s, source FROM got
 UNION ALL SELECT episode_id, NULL, 'SPARE ' || event_id, 1, round(b - a, 3), 'heuristic_candidate' FROM spare WHERE rank = 1 AND episode_id NOT IN (SELECT episode_id FROM got)""",
