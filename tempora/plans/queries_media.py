@@ -103,7 +103,7 @@ def _spares(spark, d):
 def answer_attempts(spark, d):
     s = signals(spark, d)
     x = moments.first_usable(_tries(spark, d), episodes=s.episodes, timeline=timeline(spark, d), hooks=s.hooks, candidates=_spares(spark, d), segments=s.segments, cuts=s.cuts, min_s=1.0, max_s=1e6, min_count=1, max_count=1000, scoring=CFG, cfg=STRICT)
-    return x.select("episode_id", "attempt", "title", F.size("segs").alias("n_segs"), F.round("duration_s", 3).alias("duration_s"), "source")
+    return x.select("episode_id", F.coalesce("attempt", F.lit(0)).alias("attempt"), "title", F.size("segs").alias("n_segs"), F.round("duration_s", 3).alias("duration_s"), "source")
 
 
 #: Advances by a rule, as no font is at hand: 300 to 900 thousandths, by code point.
@@ -202,5 +202,5 @@ fill AS (
   FROM good g JOIN spare p ON p.episode_id = g.episode_id AND p.event_id = -1 - g.key WHERE g.key < 0 AND g.episode_id IN (FROM last) AND g.episode_id NOT IN (SELECT episode_id FROM pick)),
 got AS (SELECT * FROM pick UNION ALL SELECT * EXCLUDE (n) FROM fill WHERE n = 1)
 SELECT episode_id, attempt::INT AS attempt, title, n_segs::INT AS n_segs, round(size, 3) AS duration_s, source FROM got
-UNION ALL SELECT episode_id, NULL, 'SPARE ' || event_id, 1, round(b - a, 3), 'heuristic_candidate' FROM spare WHERE rank = 1 AND episode_id NOT IN (SELECT episode_id FROM got)""",
+UNION ALL SELECT episode_id, 0, 'SPARE ' || event_id, 1, round(b - a, 3), 'heuristic_candidate' FROM spare WHERE rank = 1 AND episode_id NOT IN (SELECT episode_id FROM got)""",
 }

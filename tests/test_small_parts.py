@@ -31,7 +31,7 @@ def test_artifacts_are_written_by_episode(spark, tmp_path):
 def test_debug_output_takes_the_form_of_its_rows(spark, tmp_path):
     files.write_debug(spark.createDataFrame([("a line",)], "value string"), str(tmp_path / "text"))
     files.write_debug(spark.createDataFrame([(1, "a")], "n int, value string"), str(tmp_path / "rows"))
-    part = lambda name: next(p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")).read_text()
+    part = lambda name: "".join(p.read_text() for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
     assert part("text") == "a line\n" and json.loads(part("rows")) == {"n": 1, "value": "a"}
 
 
