@@ -444,6 +444,18 @@ def test_near_duplicate_stage_against_brute_force_jaccard(spark):
     assert jaccard_groups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_share_no_band_are_linked(spark):
+    by, texts = jaccard_groups._multipliers(), []
+    for seed in (48020, 53620, 63736, 70347):  # pairs at exactly 0.8 that the bands miss
+        w = [f"w{seed}x{i}" for i in range(14)]
+        a, b = " ".join(w[:12]), " ".join(w)
+        assert not set(jaccard_groups.bands(jaccard_groups.shingles(a), by)) & set(jaccard_groups.bands(jaccard_groups.shingles(b), by))
+        texts += [a, b, b + " more words that take it below"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(12, texts[1]), (1, texts[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_groups.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 9, 11: 11, 12: 0}
+
+
 def test_language_model_keeps_every_gram(spark):
     rng = random.Random(2)
     texts = [(lang, "".join(rng.choice(letters) for _ in range(15000))) for lang, letters in (("a", "abcdefghij "), ("b", "fghijklmnop "), ("c", "qrstuvw "))]
