@@ -7,10 +7,9 @@ covered by two of them. Both are built once for an episode and answer all of its
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 class RankMatrix:
@@ -66,14 +65,18 @@ class PeakTable:
 
 def cells_of(start: np.ndarray, end: np.ndarray, cells: int, cell_s: float) -> tuple[np.ndarray, np.ndarray]:
     """Cells [lo, hi) of windows, one at least where the grid has one left."""
-    lo = np.minimum(cells, np.maximum(0, np.floor(start / cell_s))).astype(np.int64)
-    hi = np.minimum(cells, np.ceil(end / cell_s)).astype(np.int64)
+    at = lambda x: np.where(np.isnan(x), 0.0, x)  # noqa: E731  as Spark makes an integer of it
+    lo = np.minimum(cells, np.maximum(0, np.floor(at(start) / cell_s))).astype(np.int64)
+    hi = np.maximum(0, np.minimum(cells, np.ceil(at(end) / cell_s))).astype(np.int64)
     return lo, np.where(hi <= lo, np.minimum(cells, lo + 1), hi)
 
 
-#: What is told of each window, as arrays side by side.
+#: What is told of each window.
 STATS = ("speech", "words", "hush", "energy_p90", "energy", "sharpness", "face", "face_peak", "cuts", "motion")
 SIGNALS = ("speech", "words", "audio_energy", "audio_sharpness", "face", "face_ratio", "cuts", "motion")
+#: Signals of which windows need sums.
+SUMMED = ("speech", "words", "audio_energy", "face", "cuts", "motion")
+_DIGITS = Context(prec=400)
 
 
 def hush_before(silent: np.ndarray) -> np.ndarray:
@@ -88,35 +91,52 @@ def loud_from(silent: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(np.where(silent, n, np.arange(n))[::-1])[::-1]
 
 
+class WindowStats:
+    """What any window of one episode is told by. Built once, it answers windows a stretch at a time.
+
+    Running totals are kept with more digits than a double has, so that the difference of two of them is the sum of the cells
+    between them and not off in its last digits: shares such as 0.0625 are rounded and compared afterwards.
+    """
+
+    def __init__(self, x: dict[str, np.ndarray], silent: float):
+        self.x, self.cells = x, len(x["speech"])
+        self.upto = {s: np.concatenate([[0], np.cumsum(x[s], dtype=np.longdouble)]) for s in SUMMED}
+        hush = hush_before(x["speech"] < silent)
+        self.loud, self.hush = np.append(loud_from(x["speech"] < silent), self.cells), PeakTable(hush)
+        self.energy, self.sharpness, self.face = RankMatrix(x["audio_energy"]), PeakTable(x["audio_sharpness"]), PeakTable(x["face_ratio"])
+
+    def total(self, name: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        upto = self.upto[name]
+        if not np.isfinite(upto[-1]):  # of no use behind the first such cell
+            return np.array([self.x[name][a:b].sum() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.float64)
+        return (upto[hi] - upto[lo]).astype(np.float64)
+
+    def mean(self, name: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return self.total(name, lo, hi) / np.maximum(hi - lo, 1)
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+        """Means, sums, the p90 and peaks of the signals in the windows [lo, hi), and cells of the longest silence."""
+        # a silence that the window begins in is cut at its start; any other begins inside it
+        first = np.minimum(self.loud[lo], hi) - lo
+        return {
+            "speech": self.mean("speech", lo, hi), "words": self.total("words", lo, hi), "hush": np.maximum(first, self.hush.peak(lo + first, hi)), "energy_p90": self.energy.percentile(lo, hi, 0.9),
+            "energy": self.mean("audio_energy", lo, hi), "sharpness": self.sharpness.peak(lo, hi), "face": self.mean("face", lo, hi), "face_peak": self.face.peak(lo, hi),
+            "cuts": self.total("cuts", lo, hi), "motion": self.mean("motion", lo, hi),
+        }
+
+
 def stats_of(x: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, silent: float) -> dict[str, np.ndarray]:
-    """Means, sums, the p90 and peaks of an episode's signals in the windows [lo, hi), and cells of the longest silence."""
-    n = np.maximum(hi - lo, 1)
-
-    def total(name):
-        upto = np.concatenate([[0.0], np.cumsum(x[name])])
-        return upto[hi] - upto[lo]
-
-    hush = hush_before(x["speech"] < silent)
-    # a silence that the window begins in is cut at its start; any other begins inside it
-    first = np.minimum(np.append(loud_from(x["speech"] < silent), len(hush))[lo], hi) - lo
-    return {
-        "speech": total("speech") / n, "words": total("words"), "hush": np.maximum(first, PeakTable(hush).peak(lo + first, hi)), "energy_p90": RankMatrix(x["audio_energy"]).percentile(lo, hi, 0.9),
-        "energy": total("audio_energy") / n, "sharpness": PeakTable(x["audio_sharpness"]).peak(lo, hi), "face": total("face") / n, "face_peak": PeakTable(x["face_ratio"]).peak(lo, hi),
-        "cuts": total("cuts"), "motion": total("motion") / n,
-    }
-
-
-def window_stats(start: Column, end: Column, *, cell_s: float, silent: float, signals: tuple[str, ...] = SIGNALS) -> Column:
-    """Struct of arrays ``STATS``, an element for each of an episode's windows. The row holds the episode's signals as arrays of cells."""
-
-    @F.pandas_udf(", ".join(f"{s} array<double>" for s in STATS))
-    def run(start: pd.Series, end: pd.Series, *cells: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, e, *x in zip(start, end, *cells, strict=True):
-            x = {k: np.asarray(v, np.float64) for k, v in zip(signals, x, strict=True)}
-            lo, hi = cells_of(np.asarray(s, np.float64), np.asarray(e, np.float64), len(x[signals[0]]), cell_s)
-            got = stats_of(x, lo, hi, silent)
-            rows.append([got[k] for k in STATS])
-        return pd.DataFrame(rows, columns=list(STATS))
-
-    return run(start, end, *signals)
+    return WindowStats(x, silent).of(lo, hi)
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark does it: the decimals that a number is shown with, halves away from zero."""
+    times = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = x * times
+        whole = np.rint(y)
+        out = whole / times + 0.0
+        close = np.flatnonzero(~((np.abs(y - whole) < 0.4999) & (np.abs(y) < 1 << 50)))
+    for i in close:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, _DIGITS)) + 0.0 if np.isfinite(x[i]) else x[i]
+    return out

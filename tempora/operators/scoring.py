@@ -1,209 +1,244 @@
 """Sliding windows over timelines: statistics, six signals, a composite score, ranked candidates.
 
-A timeline row holds its episode's arrays. Its windows are made as an array and become rows that are scored by plain
-columns, in generated code. What windows are scored by comes from structures of the whole episode, for all of its windows
-at once: running totals for means and sums, a wavelet matrix for percentiles, sparse tables for peaks and silences. No
-window's cells are looked at. There is no range join, and after the timeline no shuffle.
+A timeline row holds its episode's arrays, and all that windows need is in it and in the episode's hooks: one pass over
+these rows scores every window, with numpy, an episode at a time. What windows are scored by comes from structures of the whole
+episode: running totals for means and sums, a wavelet matrix for percentiles, sparse tables for peaks and silences. No window's
+cells are looked at. Windows leave as flat rows, a stretch of them at a time; where only ranked candidates are asked for, the greedy
+choice is made beside the scores and no other window leaves. There is no range join, and after the timeline no shuffle of windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tempora.functions import ranks
-from tempora.functions.columns import array_peak, array_percentile, clip01, let, overlap, sweet_spot
 from tempora.plans.config import Scoring, window_lengths
 
 SILENT = 0.2
 # Texts of warnings.
 LOW_SPEECH, LOW_FACE, WEAK_HOOK, SAGGING = "мало речи", "лиц почти нет", "слабый вход", "провисание в середине"
+WARNINGS = (LOW_SPEECH, LOW_FACE, WEAK_HOOK, SAGGING)
+
+SIGNALS = ("transcript", "audio", "face", "scene", "pacing", "hook")
+SHOWN = ("speech_density", "words_per_s", "longest_silence_s", "energy_p90", "energy_mean", "sharpness", "face_coverage", "face_peak", "cuts_per_min", "motion_mean")
+HEAD = ("hook", "hook_text_score", "hook_audio", "hook_face", "hook_speech", "hook_type", "hook_text")
+#: Flat columns of a window, as they leave Python. ``warned`` has a bit for each of ``WARNINGS``.
+FLAT = [(c, "double") for c in ("start_s", "end_s", "duration_s", "score", *SIGNALS)] + [(f"s_{c}", "double") for c in SHOWN] + [(f"h_{c}", "string" if c in HEAD[-2:] else "double") for c in HEAD] + [("warned", "int")]
+FLAT_ALWAYS = ("start_s", "end_s", "duration_s", "score")
+#: Windows scored at a time, and rows of a batch at least, if there are more.
+STRETCH = 1 << 15
+
+
+# ---------------------------------------------------------------- one episode
+
+
+def clip01(x: np.ndarray) -> np.ndarray:
+    """Into [0, 1]; NaN is 0."""
+    return np.clip(np.where(np.isnan(x), 0.0, x), 0.0, 1.0)
+
+
+def sweet_spot(x: np.ndarray, low: float, high: float, falloff: float = 1.0) -> np.ndarray:
+    """1 within [low, high], falling off linearly over ``falloff`` times the width on either side."""
+    low, high = min(low, high), max(low, high)
+    span = max(1e-6, (high - low) * falloff)
+    return clip01(1.0 - np.maximum(np.maximum(low - x, x - high), 0.0) / span)
+
+
+class Episode:
+    """One timeline row with its hooks: scores any of its windows."""
+
+    def __init__(self, signals: dict[str, np.ndarray], duration: float, motion_ref: float, hooks: list[dict], cfg: Scoring):
+        self.stats, self.duration, self.motion_ref, self.cfg = ranks.WindowStats(signals, SILENT), duration, motion_ref, cfg
+        # the best score wins; of equal ones the first in the list
+        good = [(i, h) for i, h in enumerate(hooks) if h["start"] is not None and h["end"] is not None and h["score"] is not None and not h["score"] <= 0]
+        good.sort(key=lambda x: (-np.inf if np.isnan(x[1]["score"]) else -x[1]["score"], x[0]))
+        self.hooks = [h for _, h in good]
+        self.types, self.texts = ([h[c] or "" for h in self.hooks] + [""] for c in ("type", "text"))
+        self.powers = np.array([h["score"] for h in self.hooks] + [0.0], np.float64)
+
+    def heads(self, start: np.ndarray) -> dict[str, np.ndarray]:
+        """The hook signal of windows that begin at ``start``, with its evidence; ``which`` is the place of its hook."""
+        end = np.minimum(self.duration, start + self.cfg.hook_window_s)
+        lo, hi = ranks.cells_of(start, end, self.stats.cells, self.cfg.cell_s)
+        audio, face, speech = self.stats.energy.percentile(lo, hi, 0.9), self.stats.mean("face", lo, hi), self.stats.mean("speech", lo, hi)
+        which = np.full(len(start), len(self.hooks))
+        for i in range(len(self.hooks) - 1, -1, -1):  # better ones later, over the others
+            which[(self.hooks[i]["end"] > start) & (self.hooks[i]["start"] < end)] = i
+        text = self.powers[which]
+        raw = 0.5 * text + 0.3 * audio + 0.2 * face
+        mute = (speech < 0.1) & (audio < 0.2)
+        return {"hook": clip01(np.where(mute, raw * 0.4, raw)), "hook_text_score": text, "hook_audio": audio, "hook_face": face, "hook_speech": speech, "which": which}
+
+    def look(self, start: np.ndarray, end: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Statistics and signals, but for the hook, of the windows [start, end), unrounded."""
+        cfg = self.cfg
+        w = self.stats.of(*ranks.cells_of(start, end, self.stats.cells, cfg.cell_s))
+        span = np.maximum(1e-6, end - start)
+        s = {
+            "speech_density": w["speech"], "words_per_s": w["words"] / span, "longest_silence_s": w["hush"] * cfg.cell_s, "energy_p90": w["energy_p90"], "energy_mean": w["energy"], "sharpness": w["sharpness"],
+            "face_coverage": w["face"], "face_peak": w["face_peak"], "cuts_per_min": w["cuts"] / span * 60.0, "motion_mean": w["motion"],
+        }
+        gap = max(1e-6, cfg.max_silence_gap_s)
+        of = {
+            "transcript": 0.6 * sweet_spot(s["speech_density"], *cfg.speech_sweet_spot) + 0.4 * clip01(s["words_per_s"] / cfg.words_per_s_ref),
+            "audio": 0.55 * s["energy_p90"] + 0.30 * s["energy_mean"] + 0.15 * s["sharpness"],
+            "face": 0.65 * s["face_coverage"] + 0.35 * clip01(s["face_peak"] / max(1e-6, cfg.target_face_ratio)),
+            "scene": 0.6 * sweet_spot(s["cuts_per_min"], *cfg.cuts_per_min_sweet_spot, falloff=1.5) + 0.4 * clip01(s["motion_mean"] / self.motion_ref),
+            "pacing": 0.45 * (1.0 - clip01(s["longest_silence_s"] / gap)) + 0.35 * (1.0 - clip01(1.0 - s["speech_density"])) + 0.20 * clip01(s["cuts_per_min"] / 30.0),
+        }
+        return s, {k: clip01(v) for k, v in of.items()}
+
+    def windows(self, start: np.ndarray, end: np.ndarray, no: np.ndarray, heads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Columns ``FLAT`` of the windows [start, end); the hook is that of ``heads`` at ``no``.
+
+        Penalties go by the statistics as they are shown, with three decimals; the score is clamped and has four.
+        """
+        cfg, (s, of) = self.cfg, self.look(start, end)
+        of["hook"] = heads["hook"][no]
+        raw = sum((cfg.weights[k] * of[k] for k in cfg.weights), np.zeros(len(start)))
+        few_words = ranks.half_up(s["speech_density"], 3) < cfg.min_speech_density
+        few_faces = (ranks.half_up(s["face_coverage"], 3) < cfg.min_face_coverage) & (cfg.min_face_coverage > 0)
+        raw = raw * np.where(few_words, cfg.empty_window_penalty, 1.0)
+        raw = raw * np.where(few_faces, cfg.low_face_penalty, 1.0)
+        warned = few_words + 2 * few_faces + 4 * (of["hook"] < 0.2) + 8 * (ranks.half_up(s["longest_silence_s"], 2) > cfg.max_silence_gap_s)
+        out = {"start_s": ranks.half_up(start, 3), "end_s": ranks.half_up(end, 3), "duration_s": ranks.half_up(end - start, 3), "score": ranks.half_up(clip01(raw), 4), **of, **{f"s_{k}": v for k, v in s.items()}}
+        return out | self.evidence(heads, no) | {"warned": warned.astype(np.int32)}
+
+    def evidence(self, heads: dict[str, np.ndarray], no) -> dict[str, np.ndarray]:
+        """Columns ``h_`` of the heads ``no``."""
+        which = pa.array(heads["which"][no])
+        return {f"h_{k}": heads[k][no] for k in HEAD[:-2]} | {"h_hook_type": pa.array(self.types, pa.string()).take(which), "h_hook_text": pa.array([t[:160] for t in self.texts], pa.string()).take(which)}
+
+
+def windows_of(duration: float, min_s: float, max_s: float, cfg: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of starts of an episode's sliding windows; the whole episode if none fits."""
+    step = max(0.25, cfg.step_s)
+    sizes = [n for n in window_lengths(min_s, max_s, cfg.length_steps) if duration >= n]
+    no = [np.arange(int(np.floor((duration - n + 1e-6) / step)) + 1) for n in sizes]
+    if not no:
+        return np.zeros(1), np.array([duration], np.float64), np.zeros(1, np.int64)
+    return np.concatenate([i * step for i in no]), np.concatenate([i * step + n for i, n in zip(no, sizes, strict=True)]), np.concatenate(no)
+
+
+def chosen(score: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray, cfg: Scoring) -> list[int]:
+    """Greedy choice by (-score, start, size) of windows that overlap no chosen one too much, in order; at most ``max_candidates`` (one at least)."""
+    order = np.lexsort((size, start, -score))
+    start, end, size = start[order], end[order], size[order]
+    left, out = np.ones(len(order), bool), []
+    while len(out) < max(1, cfg.max_candidates) and left.any():
+        i = int(left.argmax())
+        left[i] = False
+        out.append(int(order[i]))
+        least = np.minimum(size[i], size)
+        shared = np.maximum(0.0, np.minimum(end[i], end) - np.maximum(start[i], start))
+        left &= ~(shared / np.where(least == 0, 1.0, least) > cfg.nms_overlap)
+    return out
+
+
+# ---------------------------------------------------------------- tables
+
+
+def episodes_in(batch: pa.RecordBatch, cfg: Scoring) -> Iterator[Episode]:
+    """The episodes of a batch of rows with ``ranks.SIGNALS``, duration_s, motion_ref and hooks."""
+    cells = {}
+    for s in ranks.SIGNALS:
+        a = batch.column(s)
+        cells[s] = a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False)
+    duration, ref, hooks = (batch.column(c) for c in ("duration_s", "motion_ref", "hooks"))
+    for i in range(batch.num_rows):
+        x = {s: values[at[i] : at[i + 1]].astype(np.float64, copy=False) for s, (at, values) in cells.items()}
+        yield Episode(x, float(duration[i].as_py()), float(ref[i].as_py()), hooks[i].as_py() or [], cfg)
+
+
+def _scorer(names: list[str], min_s: float, max_s: float, cfg: Scoring, kind: str):
+    """A function of batches: rows of their episodes with ``names``, of ``FLAT``. ``kind`` says which: every window, the chosen ("best") with their rank, or the heads."""
+    step = max(0.25, cfg.step_s)
 
-
-def _bounds(start: Column, end: Column, cell_s: float) -> tuple[Column, Column]:
-    """Cells [lo, hi) of a window, one at least."""
-    lo = F.greatest(F.lit(0), F.floor(start / cell_s)).cast("int")
-    hi = F.least(F.col("cells"), F.ceil(end / cell_s).cast("int"))
-    return lo, F.when(hi <= lo, F.least(F.col("cells"), lo + 1)).otherwise(hi)
-
-
-def _part(signal: str, lo: Column, hi: Column) -> Column:
-    return F.slice(F.col(signal), lo + 1, F.greatest(hi - lo, F.lit(0)))
-
-
-#: Signals of which windows need sums, and those of which they need the cells.
-SUMMED, CELLS = ("speech", "words", "audio_energy", "face", "cuts", "motion"), ("audio_energy", "audio_sharpness", "face_ratio")
-
-
-def with_totals(timeline: DataFrame) -> DataFrame:
-    """``timeline`` with arrays of running totals (``total_*``), of the silent cells up to each cell (``hush``) and of the next loud cell (``loud``).
-
-    Window functions over an episode's cells. Where the timeline is dealt out by episode, nothing is shuffled.
-    """
-    cells = timeline.select("episode_id", F.posexplode(F.arrays_zip(*SUMMED)).alias("cell", "c"))
-    on, back = Window.partitionBy("episode_id").orderBy("cell"), Window.partitionBy("episode_id").orderBy(F.desc("cell"))
-    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    loud = F.when(~(F.col("c.speech") < SILENT), F.col("cell"))
-    made = {f"total_{s}": F.sum(F.col("c")[s]).over(so_far(on)) for s in SUMMED}
-    made["hush"] = F.col("cell") - F.coalesce(F.last(loud, ignorenulls=True).over(so_far(on)), F.lit(-1))
-    made["loud"] = F.last(loud, ignorenulls=True).over(so_far(back))
-    by = cells.select("episode_id", "cell", *[v.alias(k) for k, v in made.items()]).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("cell", *made))).alias("grid"))
-    return timeline.join(by.select("episode_id", *[F.col("grid")[k].alias(k) for k in made]), "episode_id", "left")
-
-
-def _total(signal: str, lo: Column, hi: Column) -> Column:
-    """Sum over the cells [lo, hi)."""
-    upto = lambda k: F.coalesce(F.get(F.col(f"total_{signal}"), k - 1), F.lit(0.0))
-    return F.when(hi > lo, upto(hi) - upto(lo)).otherwise(0.0)
-
-
-def _mean(signal: str, lo: Column, hi: Column) -> Column:
-    return F.when(hi > lo, _total(signal, lo, hi) / (hi - lo)).otherwise(0.0)
-
-
-def _longest_hush(lo: Column, hi: Column) -> Column:
-    """Cells of the longest silence within [lo, hi): the one it begins in, cut at its start, or one that begins inside."""
-
-    return let(F.greatest(F.lit(0), F.least(F.coalesce(F.get("loud", lo), F.col("cells")), hi) - lo), lambda first: _hush_after(first, lo, hi))
-
-
-def _hush_after(first: Column, lo: Column, hi: Column) -> Column:
-    """The longer of ``first`` cells of silence at the start of [lo, hi) and the longest silence that begins after them."""
-    rest = F.array_max(F.slice("hush", lo + first + 1, F.greatest(hi - lo - first, F.lit(0))))
-    return F.greatest(first, F.coalesce(rest, F.lit(0)))
-
-
-def hook_at(start: Column, cfg: Scoring) -> Column:
-    """The hook signal of a window's head with its evidence, as a struct."""
-    end = F.least(F.col("duration_s"), start + cfg.hook_window_s)
-
-    def of_head(h):
-        lo, hi = _bounds(h["start"], h["end"], cfg.cell_s)
-        return hook_in(h["start"], h["end"], F.struct(array_percentile(_part("audio_energy", lo, hi), 0.9).alias("audio"), _mean("face", lo, hi).alias("face"), _mean("speech", lo, hi).alias("speech")))
-
-    return let(F.struct(start.alias("start"), end.alias("end")), of_head)
-
-
-def hook_in(start: Column, end: Column, near: Column) -> Column:
-    """The hook signal of the head [start, end). ``near`` is what is seen and heard there: audio, face, speech."""
-    kind = "struct<start:double,end:double,score:double,type:string,text:string>"
-    some = F.filter(F.coalesce("hooks", F.array().cast(f"array<{kind}>")), lambda k: (k["end"] > start) & (k["start"] < end) & (k["score"] > 0))
-    # the best score wins; of equal ones the first in the list
-    best = F.aggregate(some, F.lit(None).cast(kind), lambda a, k: F.when(a.isNull() | (k["score"] > a["score"]), k).otherwise(a))
-
-    def scored(x):
-        hook, near = x["hook"], x["near"]
-        text = F.coalesce(hook["score"], F.lit(0.0))
-        raw = 0.5 * text + 0.3 * near["audio"] + 0.2 * near["face"]
-        mute = (near["speech"] < 0.1) & (near["audio"] < 0.2)
-        return F.struct(
-            clip01(F.when(mute, raw * 0.4).otherwise(raw)).alias("hook"), text.alias("hook_text_score"), F.coalesce(hook["type"], F.lit("")).alias("hook_type"),
-            F.substring(F.coalesce(hook["text"], F.lit("")), 1, 160).alias("hook_text"), near["audio"].alias("hook_audio"), near["face"].alias("hook_face"), near["speech"].alias("hook_speech"),
-        )
-
-    return let(F.struct(best.alias("hook"), near.alias("near")), scored)
-
-
-def window_at(start: Column, end: Column, cfg: Scoring, head: Column | None = None) -> Column:
-    """Statistics and signals of [start, end) as a struct, unrounded. ``head`` is the hook at its start, where that is known."""
-    c = cfg.cell_s
-
-    def of_bounds(b):
-        lo, hi = b["lo"], b["hi"]
-        span = F.greatest(F.lit(1e-6), b["end"] - b["start"])
-        stats = F.struct(
-            _mean("speech", lo, hi).alias("speech_density"), (_total("words", lo, hi) / span).alias("words_per_s"),
-            (_longest_hush(lo, hi) * F.lit(c)).alias("longest_silence_s"), array_percentile(_part("audio_energy", lo, hi), 0.9).alias("energy_p90"),
-            _mean("audio_energy", lo, hi).alias("energy_mean"), array_peak(_part("audio_sharpness", lo, hi)).alias("sharpness"), _mean("face", lo, hi).alias("face_coverage"),
-            array_peak(_part("face_ratio", lo, hi)).alias("face_peak"), (_total("cuts", lo, hi) / span * 60.0).alias("cuts_per_min"), _mean("motion", lo, hi).alias("motion_mean"),
-            (hook_at(b["start"], cfg) if head is None else head).alias("head"),
-        )
-        return let(stats, lambda s: F.struct(b["start"].alias("start"), b["end"].alias("end"), s.alias("stats"), _signals(s, cfg).alias("signals")))
-
-    lo, hi = _bounds(start, end, c)
-    return let(F.struct(start.alias("start"), end.alias("end"), lo.alias("lo"), hi.alias("hi")), of_bounds)
-
-
-def _signals(s, cfg: Scoring) -> Column:
-    gap = F.lit(max(1e-6, cfg.max_silence_gap_s))
-    transcript = 0.6 * sweet_spot(s["speech_density"], *cfg.speech_sweet_spot) + 0.4 * clip01(s["words_per_s"] / cfg.words_per_s_ref)
-    audio = 0.55 * s["energy_p90"] + 0.30 * s["energy_mean"] + 0.15 * s["sharpness"]
-    face = 0.65 * s["face_coverage"] + 0.35 * clip01(s["face_peak"] / max(1e-6, cfg.target_face_ratio))
-    scene = 0.6 * sweet_spot(s["cuts_per_min"], *cfg.cuts_per_min_sweet_spot, falloff=1.5) + 0.4 * clip01(s["motion_mean"] / F.col("motion_ref"))
-    pacing = 0.45 * (1.0 - clip01(s["longest_silence_s"] / gap)) + 0.35 * (1.0 - clip01(1.0 - s["speech_density"])) + 0.20 * clip01(s["cuts_per_min"] / 30.0)
-    return F.struct(*[clip01(x).alias(n) for n, x in (("transcript", transcript), ("audio", audio), ("face", face), ("scene", scene), ("pacing", pacing))], s["head"]["hook"].alias("hook"))
-
-
-def score_of(w, cfg: Scoring) -> Column:
-    """Composite score: weighted signals, penalties by the statistics as they are shown (three decimals), clamped, four decimals."""
-    raw = sum((cfg.weights[k] * w["signals"][k] for k in cfg.weights), F.lit(0.0))
-    low = F.round(w["stats"]["speech_density"], 3) < cfg.min_speech_density
-    raw = raw * F.when(low, cfg.empty_window_penalty).otherwise(1.0)
-    if cfg.min_face_coverage > 0:
-        raw = raw * F.when(F.round(w["stats"]["face_coverage"], 3) < cfg.min_face_coverage, cfg.low_face_penalty).otherwise(1.0)
-    return F.round(clip01(raw), 4)
-
-
-def warnings_of(w, cfg: Scoring) -> Column:
-    s = w["stats"]
-    few_faces = F.round(s["face_coverage"], 3) < cfg.min_face_coverage if cfg.min_face_coverage > 0 else F.lit(False)
-    every = (
-        (F.round(s["speech_density"], 3) < cfg.min_speech_density, LOW_SPEECH),
-        (few_faces, LOW_FACE),
-        (w["signals"]["hook"] < 0.2, WEAK_HOOK),
-        (F.round(s["longest_silence_s"], 2) > cfg.max_silence_gap_s, SAGGING),
-    )
-    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in every]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, rows = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(p[names[0]]) for p in parts]
+            key = pa.array([i.as_py() for i in ids], ids[0].type).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
+            cols = [pa.concat_arrays([p[c] for p in parts]) if isinstance(parts[0][c], pa.Array) else pa.array(np.concatenate([p[c] for p in parts])) for c in names]
+            ids.clear()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([key, *cols], names=["episode_id", *names])
+
+        for b in batches:
+            key = b.column("episode_id")
+            for i, e in enumerate(episodes_in(b, cfg)):
+                start, end, no = windows_of(e.duration, min_s, max_s, cfg)
+                starts = np.arange(no.max() + 1) * step
+                heads = e.heads(starts)
+                stretches = [slice(at, at + STRETCH) for at in range(0, len(no), STRETCH)]
+                made = (e.windows(start[s], end[s], no[s], heads) for s in stretches)
+                if kind == "heads":
+                    made = iter([{"start_s": ranks.half_up(starts, 3), **e.evidence(heads, slice(None))}])
+                if kind == "best":
+                    kept = [{c: x[c] for c in ("score", "start_s", "end_s", "duration_s")} for x in made]
+                    picks = np.array(chosen(*[np.concatenate([x[c] for x in kept]) for c in ("score", "start_s", "end_s", "duration_s")], cfg), np.int64)
+                    made = iter([e.windows(start[picks], end[picks], no[picks], heads) | {"rank": np.arange(1, len(picks) + 1, dtype=np.int32)}])
+                for x in made:
+                    ids.append(key[i])
+                    parts.append(x)
+                    rows += len(x[names[0]])
+                    if rows >= STRETCH:
+                        yield flush()
+                        rows = 0
+        if parts:
+            yield flush()
+
+    return run
+
+
+def dealt(timeline: DataFrame, hooks: DataFrame | None) -> DataFrame:
+    """Timeline rows with their hooks, dealt out by episode."""
+    spark = timeline.sparkSession
+    # timelines are small for the work in them: by size alone they would all be put in one task
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = timeline.select("episode_id", "duration_s", F.col("motion_ref").cast("double").alias("motion_ref"), *ranks.SIGNALS)
+    return with_hooks(x.repartition(tasks, "episode_id"), hooks)
 
 
-def _window(step: float, length: float):
-    return lambda i: F.struct((i * step).cast("double").alias("start"), (i * step + length).cast("double").alias("end"), i.alias("no"))
+def _rows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring, kind: str, flat: list[tuple[str, str]]) -> DataFrame:
+    out = T.StructType([timeline.schema["episode_id"], *T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in flat)).fields])
+    return dealt(timeline, hooks).mapInArrow(_scorer([c for c, _ in flat], min_s, max_s, cfg, kind), out)
 
 
-def windows_of(min_s: float, max_s: float, cfg: Scoring) -> Column:
-    """Starts, ends and numbers of starts of an episode's sliding windows; the whole episode if none fits."""
-    step = max(0.25, cfg.step_s)
-    every = []
-    for length in window_lengths(min_s, max_s, cfg.length_steps):
-        last = F.floor((F.col("duration_s") - length + 1e-6) / step).cast("int")
-        made = F.transform(F.sequence(F.lit(0), last), _window(step, length))
-        every.append(F.when(F.col("duration_s") >= length, made).otherwise(F.array().cast("array<struct<start:double,end:double,no:int>>")))
-    some = F.flatten(F.array(*every))
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit(0.0).alias("start"), F.col("duration_s").alias("end"), F.lit(0).alias("no"))))
+def _windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring, kind: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    flat = [(c, t) for c, t in FLAT if only is None or c in only or c in FLAT_ALWAYS] + [("rank", "int")] * (kind == "best")
+    have = {c for c, _ in flat}
+    part = lambda names, prefix="": [F.col(prefix + c).alias(c) for c in names if prefix + c in have]
+    head = part(HEAD, "h_")
+    stats = part(SHOWN, "s_") + ([F.struct(*head).alias("head")] if head else [])
+    out = ["episode_id", *["rank"] * (kind == "best"), "start_s", "end_s", "duration_s", "score"]
+    out += [F.struct(*x).alias(n) for n, x in (("signals", part(SIGNALS)), ("stats", stats)) if x]
+    if "warned" in have:
+        out.append(F.get(F.array(*[F.array(*[F.lit(t) for i, t in enumerate(WARNINGS) if n >> i & 1]).cast("array<string>") for n in range(1 << len(WARNINGS))]), F.col("warned")).alias("warnings"))
+    return _rows(timeline, hooks, min_s, max_s, cfg, kind, flat).select(*out)
 
 
-def score_windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring) -> DataFrame:
+def score_windows(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring, only: tuple[str, ...] | None = None) -> DataFrame:
     """A row for every window of every episode: start_s, end_s, duration_s, score, signals, stats, warnings.
 
     ``hooks`` is (episode_id, start_s, end_s, score, type, text); those of an episode are taken in
-    the order of their score, then their start.
+    the order of their score, then their start. ``only`` names what is needed of signals, stats and warnings,
+    as in ``FLAT``: rows leave Python whole, so that what nobody reads costs as much as what is read.
     """
-    # timelines are small for the work in them: by size alone they would all be put in one task
-    tasks = max(2 * timeline.sparkSession.sparkContext.defaultParallelism, int(timeline.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = with_hooks(timeline, hooks).repartition(tasks, "episode_id")
-    step, c = max(0.25, cfg.step_s), cfg.cell_s
-    x = x.withColumn("windows", windows_of(min_s, max_s, cfg))
-    # windows of all lengths share their starts: a head is worked out once for each
-    x = x.withColumn("starts", F.transform(F.sequence(F.lit(0), F.array_max(F.col("windows.no"))), lambda i: (i * step).cast("double")))
-    x = x.withColumn("ends", F.transform("starts", lambda s: F.least(F.col("duration_s"), s + cfg.hook_window_s)))
-    stats = lambda start, end: ranks.window_stats(start, end, cell_s=c, silent=SILENT)
-    x = x.withColumn("r", stats(F.col("windows.start"), F.col("windows.end"))).withColumn("h", stats(F.col("starts"), F.col("ends")))
-    near = lambda i: F.struct(*[F.get(F.col("h")[k], i).alias(n) for k, n in (("energy_p90", "audio"), ("face", "face"), ("speech", "speech"))])
-    x = x.withColumn("heads", F.transform("starts", lambda s, i: hook_in(s, F.get("ends", i), near(i))))
-
-    # rows are of a few numbers from here on, and each step is small enough to be compiled
-    each = F.arrays_zip(*[F.col("r")[k].alias(k) for k in ranks.STATS], F.col("windows.start").alias("start"), F.col("windows.end").alias("end"), F.col("windows.no").alias("no"))
-    x = x.select("episode_id", "motion_ref", "heads", each.alias("each")).select("episode_id", "motion_ref", "heads", F.explode("each").alias("at"))
-    w, span = F.col("at"), F.greatest(F.lit(1e-6), F.col("at.end") - F.col("at.start"))
-    shown = {
-        "speech_density": w["speech"], "words_per_s": w["words"] / span, "longest_silence_s": w["hush"] * c, "energy_p90": w["energy_p90"], "energy_mean": w["energy"], "sharpness": w["sharpness"],
-        "face_coverage": w["face"], "face_peak": w["face_peak"], "cuts_per_min": w["cuts"] / span * 60.0, "motion_mean": w["motion"], "head": F.get("heads", w["no"]),
-    }
-    x = x.select("episode_id", "motion_ref", "at", F.struct(*[v.alias(k) for k, v in shown.items()]).alias("stats"))
-    x = x.withColumn("signals", _signals(F.col("stats"), cfg))
-    w = {"stats": F.col("stats"), "signals": F.col("signals"), "start": F.col("at.start"), "end": F.col("at.end")}
-    return x.select("episode_id", F.round(w["start"], 3).alias("start_s"), F.round(w["end"], 3).alias("end_s"), F.round(w["end"] - w["start"], 3).alias("duration_s"), score_of(w, cfg).alias("score"), w["signals"].alias("signals"), w["stats"].alias("stats"), warnings_of(w, cfg).alias("warnings"))
+    return _windows(timeline, hooks, min_s, max_s, cfg, "every", only)
+
+
+def window_heads(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring) -> DataFrame:
+    """A row for every start of windows, which those of all lengths share: start_s, and the hook signal of its head with evidence."""
+    x = _rows(timeline, hooks, min_s, max_s, cfg, "heads", [("start_s", "double"), *((c, t) for c, t in FLAT if c.startswith("h_"))])
+    return x.select("episode_id", "start_s", *[F.col(f"h_{c}").alias(c) for c in HEAD])
 
 
 def with_hooks(timeline: DataFrame, hooks: DataFrame | None) -> DataFrame:
@@ -214,32 +249,9 @@ def with_hooks(timeline: DataFrame, hooks: DataFrame | None) -> DataFrame:
     return timeline.join(by.select("episode_id", F.transform("hooks", lambda h: F.struct(*[h[c].alias(c) for c in ("start", "end", "score", "type", "text")])).alias("hooks")), "episode_id", "left")
 
 
-def suppress(windows: DataFrame, cfg: Scoring, keep: list[str] | None = None) -> DataFrame:
-    """Greedy choice by (-score, start, length) of windows that overlap no chosen one too much, ranked from 1.
-
-    An ordered fold over an episode's windows; at most ``max_candidates`` (one at least) are chosen.
-    Only (score, place) enter the fold; other columns come back by position.
-    """
-    k = max(1, cfg.max_candidates)
-    row = F.struct((-F.col("score")).alias("by"), F.col("start_s").alias("start"), F.col("duration_s").alias("size"), F.col("end_s").alias("end"), *(keep or []))
-    ordered = windows.groupBy("episode_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-
-    def step(acc, c):
-        clash = F.exists(acc, lambda a: overlap(a["start"], a["end"], c["start"], c["end"]) / F.when(F.least(a["size"], c["size"]) == 0, 1.0).otherwise(F.least(a["size"], c["size"])) > cfg.nms_overlap)
-        return F.when((F.size(acc) < k) & ~clash, F.concat(acc, F.array(c))).otherwise(acc)
-
-    kind = [f for f in ordered.schema["all"].dataType.elementType]
-    empty = F.array().cast(ordered.schema["all"].dataType)
-    chosen = F.aggregate("all", empty, step)
-    out = ordered.select("episode_id", F.posexplode(chosen).alias("rank", "c"))
-    c = F.col("c")
-    return out.select("episode_id", (F.col("rank") + 1).alias("rank"), c["start"].alias("start_s"), c["end"].alias("end_s"), c["size"].alias("duration_s"), (-c["by"]).alias("score"), *[c[f.name].alias(f.name) for f in kind[4:]])
-
-
 def build_candidates(timeline: DataFrame, hooks: DataFrame | None, min_s: float, max_s: float, cfg: Scoring) -> DataFrame:
     """Ranked candidates of each episode, with signals, stats and warnings."""
-    scored = score_windows(timeline, hooks, min_s, max_s, cfg)
-    return suppress(scored if cfg.enabled else scored.limit(0), cfg, ["signals", "stats", "warnings"])
+    return _windows(timeline if cfg.enabled else timeline.limit(0), hooks, min_s, max_s, cfg, "best")
 
 
 def for_prompt(candidates: DataFrame, limit: int = 8) -> DataFrame:

@@ -1,18 +1,23 @@
 """Alignment: weak signals of an episode on one time grid.
 
 All inputs carry ``episode_id``. Intervals become rows of the cells they touch, points a row of their
-cell; one aggregate by (episode, cell) adds them up, with partial sums, and a second one makes the
-arrays of an episode, which is all that scoring needs. Nothing is joined by range.
+cell; aggregates by (episode, cell) add them up, with partial sums. Cells in which something is are then
+dealt out by episode and set into its arrays, which is all that scoring needs. Nothing is joined by range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tempora.functions.columns import array_percentile, explode_overlap, point_cell
+from tempora.functions.columns import explode_overlap, point_cell
 
 SIGNALS = ("speech", "words", "audio_energy", "audio_sharpness", "face", "face_ratio", "cuts", "motion")
 #: How a cell's values meet: shares of time are added up to one, counts are added, levels keep the highest.
@@ -60,23 +65,83 @@ def point_cells(cuts: DataFrame, motion: DataFrame, episodes: DataFrame, cell_s:
     return c.unionByName(m).groupBy("episode_id", "cell").agg(F.sum("cuts").alias("cuts"), F.greatest(F.lit(0.0), F.max("motion")).alias("motion"))
 
 
+#: Which signals each part of a timeline tells of.
+PARTS = (("speech", "words"), ("audio_energy", "audio_sharpness"), ("face", "face_ratio"), ("cuts", "motion"))
+#: Cells of a batch of timelines at least, if there are more.
+BATCH_CELLS = 1 << 16
+
+
+def _motion_ref(motion: np.ndarray) -> float:
+    """The 90th percentile of the cells that move."""
+    moving = np.sort(motion[~(motion <= 0)])
+    if not len(moving):
+        return MOTION_DEFAULT
+    at = (len(moving) - 1) * 0.9
+    x, y = moving[int(at)], moving[min(int(at) + 1, len(moving) - 1)]
+    return float(np.maximum(MOTION_LEAST, x + (y - x) * (at - int(at))))
+
+
+def _arrays(names: list[str]):
+    """A function of batches (episode_id, part, cell, a, b), an episode's rows together and its part -1 first: its cells, its duration."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grid, done, cells = None, None, [], 0  # the episode whose rows go on, and those that wait to leave
+
+        def flush() -> pa.RecordBatch:
+            ids = pa.array([i.as_py() for i, _, _ in done], done[0][0].type)
+            ends = np.concatenate([[0], np.cumsum([g.shape[1] for _, _, g in done])]).astype(np.int32)
+            one = [pa.ListArray.from_arrays(ends, np.concatenate([g[k] for _, _, g in done])) for k in range(len(SIGNALS))]
+            refs = pa.array([_motion_ref(g[SIGNALS.index("motion")]) for _, _, g in done], pa.float64())
+            cols = [ids, *one, refs, pa.array([d for _, d, _ in done], pa.float64()), pa.array([g.shape[1] for _, _, g in done], pa.int32())]
+            done.clear()
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, n = b.column(0), b.num_rows
+            other = pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
+            part, cell = (b.column(c).to_numpy() for c in (1, 2))
+            a, v = (pc.fill_null(b.column(c), 0.0).to_numpy() for c in (3, 4))
+            for lo, hi in zip(edges, edges[1:]):
+                if part[lo] < 0:
+                    if grid is not None:
+                        done.append(now + (grid,))
+                        cells += grid.shape[1]
+                        if cells >= BATCH_CELLS:
+                            yield flush()
+                            cells = 0
+                    now, grid = (ids[lo], float(a[lo])), np.zeros((len(SIGNALS), int(cell[lo])))
+                at = lo + np.searchsorted(part[lo:hi], np.arange(len(PARTS) + 1))
+                for p, names_of in enumerate(PARTS):
+                    s = slice(at[p], at[p + 1])
+                    for x, name in zip((a, v), names_of):
+                        grid[SIGNALS.index(name), cell[s]] = x[s]
+        if grid is not None:
+            done.append(now + (grid,))
+            yield flush()
+
+    return run
+
+
 def build_timeline(episodes: DataFrame, segments: DataFrame, audio: DataFrame, faces: DataFrame, cuts: DataFrame, motion: DataFrame, cell_s: float = 0.5) -> DataFrame:
     """One row per episode: duration_s, cells, motion_ref and an array for each signal, a value per cell.
 
     ``episodes`` is (episode_id, duration_s); episodes without a positive duration have no timeline.
     """
     cell_s = max(0.1, float(cell_s))
-    eps = episodes.where("duration_s > 0").withColumn("cells", _cells(cell_s))
-    parts = [speech_cells(segments, eps, cell_s), energy_cells(audio, eps, cell_s), face_cells(faces, eps, cell_s), point_cells(cuts, motion, eps, cell_s)]
-    empty = eps.select("episode_id", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [empty, *parts])
-    # each cell has one row from each part at most, so any aggregate that skips nulls joins them
-    cells = rows.groupBy("episode_id", "cell").agg(*[F.coalesce(F.max(s), F.lit(0.0)).alias(s) for s in SIGNALS])
-    arrays = cells.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("cell", *SIGNALS))).alias("grid"))
-    out = arrays.select("episode_id", *[F.col("grid")[s].alias(s) for s in SIGNALS])
-    moving = F.filter("motion", lambda m: m > 0)
-    ref = F.greatest(F.lit(MOTION_LEAST), F.when(F.size(moving) > 0, array_percentile(moving, 0.9)).otherwise(MOTION_DEFAULT))
-    return out.withColumn("motion_ref", ref).join(eps, "episode_id")
+    eps = episodes.where("duration_s > 0 AND episode_id IS NOT NULL").withColumn("cells", _cells(cell_s))
+    made = [speech_cells(segments, eps, cell_s), energy_cells(audio, eps, cell_s), face_cells(faces, eps, cell_s), point_cells(cuts, motion, eps, cell_s)]
+    # only cells in which something is travel, and a row that opens the episode; each cell has one row from each part at most
+    opening = eps.select("episode_id", F.lit(-1).alias("part"), F.col("cells").alias("cell"), F.col("duration_s").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    some = [x.select("episode_id", F.lit(p).alias("part"), "cell", F.col(PARTS[p][0]).cast("double").alias("a"), F.col(PARTS[p][1]).cast("double").alias("b")) for p, x in enumerate(made)]
+    spark = episodes.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = reduce(lambda x, y: x.union(y), [opening, *some]).repartition(tasks, "episode_id").sortWithinPartitions("episode_id", "part")
+    fields = ", ".join([*(f"{s} array<double>" for s in SIGNALS), "motion_ref double, duration_s double, cells int"])
+    out = T.StructType([episodes.schema["episode_id"], *T._parse_datatype_string(fields).fields])
+    return rows.mapInArrow(_arrays(out.names), out).withColumn("duration_s", F.col("duration_s").cast(episodes.schema["duration_s"].dataType))
 
 
 def episode_duration(segments: DataFrame, audio: DataFrame, faces: DataFrame) -> DataFrame:

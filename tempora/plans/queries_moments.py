@@ -13,8 +13,11 @@ def _grid(spark, d):
 
 
 def r8(c, name=None):
-    """Eight decimals, as the SQL twins round: a nudge first, as sums in another order differ around exact halves."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-12, 8).alias(name or c)
+    """Eight decimals, as the SQL twins round: a nudge first, as sums in another order differ around exact halves.
+
+    By the nearest whole number of 1e-8, as after the nudge no half is left; Spark's own rounding makes a decimal of each number.
+    """
+    return (F.rint(((F.col(c) if isinstance(c, str) else c) + 1e-12) * 1e8) / 1e8 + 0.0).alias(name or c)
 
 
 def timeline_speech(spark, d):
@@ -43,34 +46,34 @@ def timeline_grid(spark, d):
     return x.select("episode_id", "cell", "motion_ref", *[r8(F.col("c")[s], s) for s in timeline.SIGNALS])
 
 
-def _scored(spark, d):
-    return scoring.score_windows(make_timeline(spark, d), signals(spark, d).hooks, MIN_S, MAX_S, CFG)
+def _scored(spark, d, *only):
+    return scoring.score_windows(make_timeline(spark, d), signals(spark, d).hooks, MIN_S, MAX_S, CFG, only)
 
 
 AT = ["episode_id", "start_s", "end_s"]
 
 
 def window_stats(spark, d):
-    s = F.col("stats")
-    return _scored(spark, d).select(*AT, *[r8(s[x], x) for x in ("speech_density", "words_per_s", "energy_p90", "energy_mean", "sharpness", "face_coverage", "face_peak", "cuts_per_min", "motion_mean")])
+    told = ("speech_density", "words_per_s", "energy_p90", "energy_mean", "sharpness", "face_coverage", "face_peak", "cuts_per_min", "motion_mean")
+    return _scored(spark, d, *[f"s_{x}" for x in told]).select(*AT, *[r8(F.col("stats")[x], x) for x in told])
 
 
 def longest_silence(spark, d):
-    return _scored(spark, d).select(*AT, r8(F.col("stats.longest_silence_s"), "longest_silence_s"))
+    return _scored(spark, d, "s_longest_silence_s").select(*AT, r8(F.col("stats.longest_silence_s"), "longest_silence_s"))
 
 
 def window_signals(spark, d):
-    return _scored(spark, d).select(*AT, *[r8(F.col("signals")[x], x) for x in ("transcript", "audio", "face", "scene", "pacing")])
+    told = ("transcript", "audio", "face", "scene", "pacing")
+    return _scored(spark, d, *told).select(*AT, *[r8(F.col("signals")[x], x) for x in told])
 
 
 def hook_head_signal(spark, d):
-    h = F.col("stats.head")
-    x = _scored(spark, d).select("episode_id", "start_s", h.alias("h")).distinct()
-    return x.select("episode_id", "start_s", *[r8(F.col("h")[c], c) for c in ("hook", "hook_text_score", "hook_audio", "hook_face", "hook_speech")], F.col("h.hook_type").alias("hook_type"), F.col("h.hook_text").alias("hook_text"))
+    x = scoring.window_heads(make_timeline(spark, d), signals(spark, d).hooks, MIN_S, MAX_S, CFG)
+    return x.select("episode_id", "start_s", *[r8(c) for c in ("hook", "hook_text_score", "hook_audio", "hook_face", "hook_speech")], "hook_type", "hook_text")
 
 
 def candidate_scores(spark, d):
-    return _scored(spark, d).select(*AT, "duration_s", "score", F.concat_ws("; ", "warnings").alias("warnings"))
+    return _scored(spark, d, "warned").select(*AT, "duration_s", "score", F.concat_ws("; ", "warnings").alias("warnings"))
 
 
 def _candidates(spark, d):
