@@ -40,6 +40,18 @@ def test_rows_leave_in_stretches():
         assert sum(b.num_rows for b in out) == windows and max(b.num_rows for b in out) < 2 * scoring.STRETCH
 
 
+def test_only_chosen_windows_leave():
+    b = batch([80, 20, 200, 400])
+    every, best = pa.Table.from_batches(scored(b, "every")).to_pylist(), pa.Table.from_batches(scored(b, "best", ["rank"])).to_pylist()
+    for e in range(4):
+        taken = []
+        for w in sorted((w for w in every if w["episode_id"] == e), key=lambda w: (-w["score"], w["start_s"], w["duration_s"])):
+            shared = [max(0, min(w["end_s"], t["end_s"]) - max(w["start_s"], t["start_s"])) / min(w["duration_s"], t["duration_s"]) for t in taken]
+            if len(taken) < CFG.max_candidates and all(s <= CFG.nms_overlap for s in shared):
+                taken.append(w)
+        assert [w | {"rank": i + 1} for i, w in enumerate(taken)] == [w for w in best if w["episode_id"] == e]
+
+
 def test_only_what_is_needed_leaves_python(spark):
     b = batch([120])
     t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
