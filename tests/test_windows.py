@@ -52,6 +52,14 @@ def test_only_chosen_windows_leave():
         assert [w | {"rank": i + 1} for i, w in enumerate(taken)] == [w for w in best if w["episode_id"] == e]
 
 
+def test_candidates_collect_no_windows(spark):
+    b = batch([120])
+    t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
+    plan = scoring.build_candidates(t, None, 10.0, 30.0, CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
+    assert scoring.build_candidates(t, None, 10.0, 30.0, CFG).count() <= CFG.max_candidates
+
+
 def test_only_what_is_needed_leaves_python(spark):
     b = batch([120])
     t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
