@@ -69,6 +69,18 @@ def test_only_what_is_needed_leaves_python(spark):
     assert pick(some) == pick(every)
 
 
+def test_odd_moments_and_hooks(spark):
+    """Moments without segments or times, hooks without a score, and a moment of no known episode."""
+    b = batch([50])
+    t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 50.0)
+    hooks = spark.createDataFrame([(1, 0.0, 5.0, None, "a", None), (1, 1.0, 4.0, 0.5, None, "x" * 200), (1, 2.0, 3.0, -1.0, "b", "y")], "episode_id long, start_s double, end_s double, score double, type string, text string")
+    m = spark.createDataFrame([(1, []), (1, [(float("nan"), 9.0)]), (1, [(1.0, 4.0), (60.0, 90.0)]), (2, [(0.0, 1.0)]), (None, [(0.0, 1.0)])], "episode_id long, segs array<struct<start:double,end:double>>")
+    got = moments.evaluate(m, t, hooks, CFG).collect()
+    assert len(got) == 3 and max(r["signals"]["hook"] for r in got) >= 0.25
+    head = scoring.window_heads(t, hooks, 10.0, 30.0, CFG).where("start_s = 2").first()
+    assert (head["hook_text_score"], head["hook_type"], head["hook_text"]) == (0.5, "", "x" * 160)
+
+
 def test_rounding_as_spark_does_it(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([(2 * np.arange(2000) + 1) / 2000, rng.random(2000) * 100, [-0.0005, -0.0001, 0.0, 1e17, np.nan, np.inf]])
