@@ -60,6 +60,17 @@ def test_candidates_collect_no_windows(spark):
     assert scoring.build_candidates(t, None, 10.0, 30.0, CFG).count() <= CFG.max_candidates
 
 
+def test_heads_are_a_row_for_each_start(spark):
+    b = batch([120])
+    t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
+    hooks = spark.createDataFrame([(1, h["start"], h["end"], h["score"], h["type"], h["text"]) for h in b.column("hooks")[0].as_py()], "episode_id long, start_s double, end_s double, score double, type string, text string")
+    heads = scoring.window_heads(t, hooks, 10.0, 30.0, CFG)
+    assert "Aggregate" not in heads.drop("hook_text")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got = {r["start_s"]: tuple(r[c] for c in scoring.HEAD) for r in heads.collect()}
+    want = {r["start_s"]: tuple(r["stats"]["head"][c] for c in scoring.HEAD) for r in scoring.score_windows(t, hooks, 10.0, 30.0, CFG).collect()}
+    assert got == want and len(got) == 111
+
+
 def test_only_what_is_needed_leaves_python(spark):
     b = batch([120])
     t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
