@@ -71,6 +71,15 @@ def test_heads_are_a_row_for_each_start(spark):
     assert got == want and len(got) == 111
 
 
+def test_eight_decimals_without_decimal_numbers(spark):
+    rng = np.random.default_rng(8)
+    x = [0.0, 1.0, 0.5, 1 / 3, 0.123456785, 1e-9, 123.00000001, float("nan"), *(rng.random(500) * rng.choice([1e-6, 1.0, 60.0], 500)).tolist()]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
+    fast = df.select(queries_moments.r8("x").alias("a"), F.round(F.col("x") + 1e-12, 8).alias("b"))
+    assert "round(" not in fast.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(repr(r["a"]) == repr(r["b"]) for r in fast.collect())
+
+
 def test_only_what_is_needed_leaves_python(spark):
     b = batch([120])
     t = timelines(spark, [b.column(s)[0].as_py() for s in ranks.SIGNALS], 120.0)
