@@ -35,7 +35,8 @@ def interval_subtract(spark, d):
 
 def moment_weighted_eval(spark, d):
     x = moments.evaluate(_asked(spark, d), timeline(spark, d), signals(spark, d).hooks, CFG, CHECK)
-    return x.select("episode_id", "key", F.round("speech_density", 3).alias("speech_density"), *[F.round(F.col("signals")[c], 9).alias(c) for c in ("transcript", "audio", "face", "scene", "pacing", "hook")], "score", "fatal")
+    r9 = lambda c: F.floor(c * 1e9 + 0.5) / 1e9  # noqa: E731  as the SQL twin rounds: 0.5350951835 is a little under a half there, and a half to F.round
+    return x.select("episode_id", "key", F.round("speech_density", 3).alias("speech_density"), *[r9(F.col("signals")[c]).alias(c) for c in ("transcript", "audio", "face", "scene", "pacing", "hook")], "score", "fatal")
 
 
 def repair_segments(spark, d):

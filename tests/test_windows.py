@@ -89,6 +89,18 @@ def test_only_what_is_needed_leaves_python(spark):
     assert pick(some) == pick(every)
 
 
+def test_shares_are_exact_behind_long_running_totals(spark):
+    """Half an hour of speech in eight hours is 0.0625, shown as 0.063, whatever came before it."""
+    rng = np.random.default_rng(6)
+    a, b = rng.random(2) / 4
+    speech = np.concatenate([rng.random(400), [0, 0, a, b, 0.5 - a - b, 0, 0, 0], rng.random(12)])
+    assert np.cumsum(speech)[407] - np.cumsum(speech)[399] < 0.5  # running totals of doubles lose it
+    t = timelines(spark, [speech.tolist(), *[[0.0] * 420] * 7], 420.0)
+    m = spark.createDataFrame([(1, [(400.0, 408.0)])], "episode_id long, segs array<struct<start:double,end:double>>")
+    r = moments.evaluate(m, t, None, CFG).first()
+    assert (r["speech_density"], r["segs"][0]["start"]) == (0.063, 400.0)
+
+
 def test_odd_moments_and_hooks(spark):
     """Moments without segments or times, hooks without a score, and a moment of no known episode."""
     b = batch([50])
