@@ -11,9 +11,10 @@ Features are hashed words and word beginnings. A word counts 1 + log(occurrences
 that a word said over and over weighs little more than one said twice. The model is linear, so a text's logit is
 a sum over its distinct words and each word is worked out once in a task.
 
-Fitting uses a bounded sample: at most ``POSITIVES`` and ``UNLABELLED`` different texts of training rows, those first in
-order of a hash of their text, so that copies don't fill it; the prior counts all labelled training rows. Scoring covers all rows in
-one narrow pass; the model sent along has ``2**HASH_BITS`` weights, whatever the corpus.
+Fitting uses every different text of the training rows, copies once. More than ``POSITIVES`` and ``UNLABELLED`` of them are dealt by
+a hash of their text to shards of about that size, each of which one task fits; weights and biases are averaged, which leaves a linear
+classifier, and every unlabelled text has had its part in the level. If one side fills fewer shards than the other, its groups are dealt
+to several. The prior counts all labelled training rows. Scoring covers all rows in one narrow pass; the model sent along has ``2**HASH_BITS`` weights, whatever the corpus.
 
 Defined cases: null and empty texts, and texts without words, get the score of the bias alone; without
 a positive or unlabelled training row all scores are the prior; labels that repeat or contradict
@@ -27,15 +28,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, schema, table
+from .common import map_texts, materialise, release, schema, table, trim
 
 HASH_BITS = 18
 BEGINNINGS = (4, 5, 6)
-#: Bounds of the training sample.
+#: Texts of a training shard, about.
 POSITIVES, UNLABELLED = 3000, 4000
+#: Parts of one in which weights are added up, in whole numbers as their order is open; and the places of the bias and of the number of classifiers.
+UNITS, LEVEL, COUNT = float(1 << 40), -2, -1
 STEPS, RATE, DECAY = 80, 0.08, 5e-4
 #: A feature is learned if it is in so many rows of the positive sample; the weight of one in less than this
 #: share of them decays the faster, by the ratio to this power. Chosen on folds of the training rows.
@@ -165,28 +169,82 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
     return Classifier(w.astype(np.float32), bias, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
-    """A classifier from toxic rows of ``labels`` and rows of ``docs`` without a label. Pass training rows only."""
+def _shard(names: list[str], prior: float):
+    """A function of one shard's rows (side, h, text): its classifier's weights and bias in ``UNITS``, and a one that counts it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        seen, packed = set(), {"p": [], "u": []}
+        for b in t.select(names).to_batches(max_chunksize=256):
+            for side, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (side, h) not in seen:
+                    seen.add((side, h))
+                    packed[side].append(_packed(text))
+        if not packed["p"] or not packed["u"]:
+            return pa.table({"at": pa.array([], pa.int32()), "w": pa.array([], pa.int64())})
+        made = fit(packed["p"], packed["u"], prior)
+        at = np.flatnonzero(made.weights)
+        w = np.rint(np.append(made.weights[at].astype(np.float64), made.bias) * UNITS)
+        out = pa.table({"at": np.concatenate([at, [LEVEL, COUNT]]).astype(np.int32), "w": np.append(w, 1).astype(np.int64)})
+        packed.clear()
+        trim()
+        return out
+
+    return run
+
+
+def _fit_shards(rows: DataFrame, picked: DataFrame, n: dict[str, int], prior: float) -> Classifier | None:
+    """Classifiers of shards that hold every picked text between them, averaged; none if no shard has both sides."""
+    groups = {"p": -(-n["p"] // POSITIVES), "u": -(-n["u"] // UNLABELLED)}
+    shards = max(groups.values())
+    of = F.when(F.col("side") == "p", groups["p"]).otherwise(groups["u"])
+    # a side that fills fewer shards is dealt out again to the rest
+    dealt = rows.join(picked.hint("merge"), ["id", "h"]).withColumn("shard", F.explode(F.sequence(F.pmod("h", of).cast("int"), F.lit(shards - 1), of)))
+    names = ["side", "h", "text"]
+    sums = dealt.select("shard", *names).groupBy("shard").applyInArrow(_shard(names, prior), schema("at int, w long")).groupBy("at").agg(F.sum("w").alias("w")).toArrow()
+    at, w = (sums.column(c).to_numpy() for c in ("at", "w"))
+    made = int(w[at == COUNT].sum())
+    if not made:
+        return None
+    weights = np.zeros(1 << HASH_BITS, np.float64)
+    weights[at[at >= 0]] = w[at >= 0] / UNITS / made
+    return Classifier(weights.astype(np.float32), float(w[at == LEVEL][0] / UNITS / made), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int | None = None, unlabelled: int | None = None) -> Classifier:
+    """A classifier from toxic rows of ``labels`` and rows of ``docs`` without a label. Pass training rows only. All of them are learned from, unless a number is given."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     known = marks.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     prior = min(max((known["toxic"] or 0) / known["n"] if known["n"] else 0.05, 1e-3), 0.9)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    # ids and hashes alone are ordered; the sample's texts are fetched by id afterwards
+    # ids and hashes alone are told apart and counted; texts are fetched by id afterwards
     small = rows.select("id", "h")
-    sample = lambda df, n: df.groupBy("h").agg(F.min("id").alias("id")).where("id is not null").orderBy("h").limit(n).select("id")
-    pos = sample(small.join(marks.where("y = 1"), "id", "left_semi"), positives)
-    unl = sample(small.join(marks, "id", "left_anti"), unlabelled)
-    picked = F.broadcast(pos.withColumn("side", F.lit("p")).union(unl.withColumn("side", F.lit("u"))))  # at most positives + unlabelled rows
 
-    def make():
-        return lambda texts: [[_packed(t) for t in texts]]
-
-    got = map_texts(rows.join(picked, "id").select("side", "text"), ["side"], "text", schema("features binary"), make).toArrow()
-    side = np.array(got.column("side").to_pylist())
-    features = np.array(got.column("features").to_pylist(), object)
-    if not (side == "p").any() or not (side == "u").any():
-        return Classifier(np.zeros(1 << HASH_BITS, np.float32), float(np.log(prior / (1 - prior))), prior)
-    return fit(list(features[side == "p"]), list(features[side == "u"]), prior)
+    def once(df, n):
+        x = df.groupBy("h").agg(F.min("id").alias("id")).where("id is not null")
+        return x if n is None else x.orderBy("h").limit(n)
+
+    pos = once(small.join(marks.where("y = 1"), "id", "left_semi"), positives).select("id", "h", F.lit("p").alias("side"))
+    unl = once(small.join(marks, "id", "left_anti"), unlabelled).select("id", "h", F.lit("u").alias("side"))
+    picked = materialise(pos.union(unl), "picked")
+    n = {"p": 0, "u": 0} | {r["side"]: r["count"] for r in picked.groupBy("side").count().collect()}
+    try:
+        if not all(n.values()):
+            model = None
+        elif n["p"] > POSITIVES or n["u"] > UNLABELLED:
+            model = _fit_shards(rows, picked, n, prior)
+        else:
+
+            def make():
+                return lambda texts: [[_packed(t) for t in texts]]
+
+            # one shard's rows: they go to the driver
+            got = map_texts(rows.join(F.broadcast(picked.select("id", "side")), "id").select("side", "text"), ["side"], "text", schema("features binary"), make).toArrow()
+            side = np.array(got.column("side").to_pylist())
+            features = np.array(got.column("features").to_pylist(), object)
+            model = fit(list(features[side == "p"]), list(features[side == "u"]), prior)
+    finally:
+        release(picked)
+    return model or Classifier(np.zeros(1 << HASH_BITS, np.float32), float(np.log(prior / (1 - prior))), prior)
 
 
 def score(df: DataFrame, model: Classifier, *, keep: list[str], text_col: str = "text") -> DataFrame:

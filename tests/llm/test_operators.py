@@ -334,6 +334,24 @@ def test_toxicity_sample_counts_a_text_once(spark):
     assert seen == [(1, 5, 5)]
 
 
+def test_toxicity_learns_from_every_text(spark, monkeypatch):
+    """What only one text in a hundred says is learned, though a shard holds a few texts; the level follows all unlabelled ones."""
+    rng = random.Random(4)
+    monkeypatch.setattr(pu_toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(pu_toxicity, "UNLABELLED", 60)
+    clean = lambda i: " ".join(f"w{rng.randrange(40)}" for _ in range(60)) + f" n{i}"
+    texts = [(i, clean(i) + (" vile nasty" * 6 if i < 100 or i % 10 == 0 else "")) for i in range(700)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(10_000 + i, 0) for i in range(900)], "doc_id long, toxic int")
+    df = spark.createDataFrame(texts + texts[200:260], "doc_id long, text string")
+    counted, shards = [], pu_toxicity._fit_shards
+    monkeypatch.setattr(pu_toxicity, "_fit_shards", lambda rows, picked, n, prior: counted.append(n) or shards(rows, picked, n, prior))
+    m = pu_toxicity.train(df, labels)
+    # ten shards of unlabelled texts, and three groups of positive ones dealt to them
+    assert counted == [{"p": 100, "u": 600}] and m.prior == pytest.approx(0.1)
+    s = np.array(m.scores([t for _, t in texts]))
+    assert s[100:].mean() == pytest.approx(0.1, abs=0.01) and s[:100].min() > s[[i for i in range(100, 700) if i % 10]].max()
+
+
 def test_word_table(spark):
     from tokenizers import Tokenizer
 
